@@ -49,3 +49,63 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
     out = near_duplicate_groups(table(spark, folder, SILVER), "src_ord", "tweet_clean")
     return out.filter("ord <> group_ord").select("group_ord", F.col("ord").alias("src_ord"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies hidden by formatting: each record's least src_ord with every other src_ord of it."""
+    from triagelake.llm.formatting_copies import formatting_copies
+
+    out = formatting_copies(table(spark, folder, EMERGENCY), "src_ord", "tweet_clean")
+    return out.filter("ord <> keep_ord").select("keep_ord", F.col("ord").alias("copy_ord"))
+
+
+@query("p2_records")
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record of several copies, with the number of its copies."""
+    from triagelake.llm.formatting_copies import formatting_copies
+
+    out = formatting_copies(table(spark, folder, EMERGENCY), "src_ord", "tweet_clean")
+    return out.filter("ord = keep_ord").select("keep_ord", "copies")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows of val or test found again among the train rows, by id or text."""
+    from triagelake.llm.cross_split import split_overlaps
+
+    out = split_overlaps(table(spark, folder, GOLD), "src_ord", "tweet_clean", "split_name", "id")
+    return out.select(F.least("train_ord", "eval_ord").alias("ord_a"), F.greatest("train_ord", "eval_ord").alias("ord_b"))
+
+
+@query("p3_overlap_report")
+def p3_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps per split and source of the evaluation row."""
+    from triagelake.llm.cross_split import split_overlaps
+
+    gold = table(spark, folder, GOLD)
+    out = split_overlaps(gold, "src_ord", "tweet_clean", "split_name", "id")
+    named = out.join(gold.select(F.col("src_ord").alias("eval_ord"), "split_name", "label_source"), "eval_ord")
+    return named.groupBy("split_name", "label_source").agg(
+        F.count("*").alias("pairs"),
+        F.count_distinct("eval_ord").alias("eval_rows"),
+        F.count_if("same_id").alias("same_id_pairs"),
+        F.round(F.avg("similarity"), 6).alias("mean_similarity"),
+        F.round(F.avg("part_eval"), 6).alias("mean_chunk_overlap"),
+    )
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows whose tweets look the same but are written with different characters."""
+    from triagelake.llm.look_alikes import same_looking_pairs
+
+    return same_looking_pairs(table(spark, folder, GOLD), "src_ord", "tweet")
+
+
+@query("p4_consistent")
+def p4_consistent(spark: SparkSession, folder: str) -> DataFrame:
+    """Every gold tweet in its consistent form."""
+    from triagelake.llm.look_alikes import consistent_text
+
+    return consistent_text(table(spark, folder, GOLD), "src_ord", "tweet").select(F.col("ord").alias("src_ord"), "canonical")
