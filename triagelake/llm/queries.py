@@ -109,3 +109,30 @@ def p4_consistent(spark: SparkSession, folder: str) -> DataFrame:
     from triagelake.llm.look_alikes import consistent_text
 
     return consistent_text(table(spark, folder, GOLD), "src_ord", "tweet").select(F.col("ord").alias("src_ord"), "canonical")
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k."""
+    from triagelake.llm.tokenize import corpus_ids
+
+    return corpus_ids(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("p8_roundtrip")
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by whether their ids decode to their text again."""
+    from triagelake.llm.tokenize import corpus_ids, decoded
+
+    docs = table(spark, folder, "documents")
+    back = decoded(corpus_ids(docs, "doc_id", "text"), "doc_id", "ids")
+    both = back.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("source_text")), "doc_id")
+    return both.groupBy((F.col("text") == F.col("source_text")).alias("same")).agg(F.count("*").alias("documents"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain a passage of a held-out item."""
+    from triagelake.llm.leaks import leaked_items
+
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
