@@ -136,3 +136,26 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     from triagelake.llm.leaks import leaked_items
 
     return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    from triagelake.llm.place_names import place_matches
+
+    return place_matches(
+        table(spark, folder, EMERGENCY), "src_ord", ["neighborhood", "district", "province"],
+        table(spark, folder, "gazetteer"), "gaz_id", ["neighborhood_clean", "district", "province"],
+    ).select(F.col("ord").alias("src_ord"), "gaz_id")
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The gazetteer entry meant by each hand-filled place that is no listed triple as written."""
+    return _places(spark, folder)
+
+
+@query("p7_unmatched")
+def p7_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean no single entry, with their rows."""
+    missed = _places(spark, folder).filter("gaz_id = 0").select("src_ord")
+    rows = table(spark, folder, EMERGENCY).join(missed, "src_ord")
+    return rows.groupBy("neighborhood", "district", "province").agg(F.count("*").alias("rows"))
