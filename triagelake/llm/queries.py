@@ -159,3 +159,20 @@ def p7_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     missed = _places(spark, folder).filter("gaz_id = 0").select("src_ord")
     rows = table(spark, folder, EMERGENCY).join(missed, "src_ord")
     return rows.groupBy("neighborhood", "district", "province").agg(F.count("*").alias("rows"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item of personal data in gold tweets: its row, field, kind and number within the field."""
+    from triagelake.llm.personal_data import personal_data
+
+    out = personal_data(table(spark, folder, GOLD), "src_ord", ["tweet", "tweet_clean"])
+    return out.select(F.col("ord").alias("src_ord"), "field_name", F.explode("items").alias("i")).select("src_ord", "field_name", "i.kind", "i.nth")
+
+
+@query("p6_masked")
+def p6_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every gold text with its personal data replaced by typed placeholders."""
+    from triagelake.llm.personal_data import personal_data
+
+    return personal_data(table(spark, folder, GOLD), "src_ord", ["tweet", "tweet_clean"]).select(F.col("ord").alias("src_ord"), "field_name", "masked")
