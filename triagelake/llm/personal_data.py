@@ -67,7 +67,7 @@ _HOUSE = r"(?:(?:(?:kap[ıi]\s*)?(?:no|numara|nu)\s*[.:]*\s*\d+(?:\s*/\s*\d+)?)|
 _DETAIL = r"(?:\s*,?\s*(?:kat|k|daire|d|blok|bina|apt|iç\s*kap[ıi]|kap[ıi]|no)\s*[.:]?\s*(?:no\s*[.:]?\s*)?\d+(?:\s*/\s*\d+)?)*"
 _NAMEWORD = r"[^\W\d_]+"
 ADDRESS = re.compile(
-    rf"(?:{_NAMEWORD}\s+(?:mahallesi|mahalle|mah|mh)\.?,?\s+)?(?:\d+\.|\d+|(?!(?:ev|adres|adresi)\s){_NAMEWORD}\.?(?:\s{_NAMEWORD}\.?)?)\s+{_STREET}(?!\w)\.?\s*,?\s*{_HOUSE}{_DETAIL}", re.I
+    rf"(?<!\w)(?:(?!(?:ev|adres|adresi)\s){_NAMEWORD}\s+(?:mahallesi|mahalle|mah|mh)\.?,?\s+)?(?:\d+\.|\d+|(?!(?:ev|adres|adresi)\s){_NAMEWORD}\.?(?:\s{_NAMEWORD}\.?)?)\s+{_STREET}(?!\w)\.?\s*,?\s*{_HOUSE}{_DETAIL}", re.I
 )
 HANDLE = re.compile(r"[@#][\w.]+|https?://\S+|\w*_\w*")
 TOKEN = re.compile(r"[^\W\d_]+")

@@ -176,3 +176,75 @@ def p6_masked(spark: SparkSession, folder: str) -> DataFrame:
     from triagelake.llm.personal_data import personal_data
 
     return personal_data(table(spark, folder, GOLD), "src_ord", ["tweet", "tweet_clean"]).select(F.col("ord").alias("src_ord"), "field_name", "masked")
+
+
+def _sample(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    from triagelake.llm.target_sample import target_sample
+
+    return target_sample(table(spark, folder, GOLD), "id", "split_name", ["guvenlik", "psikolojik"], table(spark, folder, "sampling_targets"))
+
+
+P1_FOUND = """
+WITH units AS (
+    SELECT DISTINCT id, split_name, guvenlik, psikolojik FROM need_classification_gold_combined
+    WHERE id IS NOT NULL AND guvenlik IN (0, 1) AND psikolojik IN (0, 1)
+), cells AS (
+    SELECT t.plan_id, t.guvenlik, t.psikolojik, t.target_share, t.sample_size, t.min_rows, count(DISTINCT u.id) AS available
+    FROM sampling_targets t LEFT JOIN units u
+      ON u.guvenlik = t.guvenlik AND u.psikolojik = t.psikolojik AND (t.split_name IS NULL OR t.split_name = u.split_name)
+    GROUP BY ALL
+)
+SELECT plan_id, guvenlik, psikolojik FROM cells
+WHERE available < greatest(min_rows, round(target_share * sample_size, 6))
+"""
+
+
+@query("p1_found", P1_FOUND)
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of the plans that gold rows cannot fill."""
+    _, report = _sample(spark, folder)
+    return report.filter("gap > 0").select("plan_id", "guvenlik", "psikolojik")
+
+
+@query("p1_sample")
+def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids drawn for every plan."""
+    return _sample(spark, folder)[0]
+
+
+@query("p1_report")
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Available, needed and drawn ids of every plan's cells, with the gap."""
+    return _sample(spark, folder)[1]
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of grade 4 or 5 on the readers' scale."""
+    from triagelake.llm.reading_level import reading_levels
+
+    out = reading_levels(table(spark, folder, "documents"), table(spark, folder, "graded_documents"))
+    return out.filter("grade >= 3.5").select("doc_id")
+
+
+@query("p10_levels")
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimated grade of every document."""
+    from triagelake.llm.reading_level import reading_levels
+
+    return reading_levels(table(spark, folder, "documents"), table(spark, folder, "graded_documents"))
+
+
+@query("p10_by_source")
+def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-validated error of the estimate per source, whole sources held out."""
+    from triagelake.llm.reading_level import train
+
+    _, got = train(table(spark, folder, "documents"), table(spark, folder, "graded_documents"))
+    rows = [(str(s), float(g), float(h)) for s, g, h in zip(got["source"], got["grade"], got["held_out"])]
+    held = spark.createDataFrame(rows, "source string, grade double, estimate double")
+    return held.groupBy("source").agg(
+        F.count("*").alias("documents"),
+        F.round(F.avg(F.abs(F.col("grade") - F.col("estimate"))), 6).alias("mean_error"),
+        F.round(F.avg((F.abs(F.col("grade") - F.col("estimate")) <= 1).cast("double")), 6).alias("within_one"),
+    )
