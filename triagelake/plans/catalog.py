@@ -1 +1,4 @@
 """Imports every module that registers queries."""
+
+from triagelake.plans import text_queries  # noqa: F401
+from triagelake.plans import agg_queries  # noqa: F401
