@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +17,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it and wherever the optimizer moves the result."""
+    return F.transform(F.array(c), lambda x: f(x)).getItem(0)
+
+
 def clean(c: Column) -> Column:
     """White space of any kind squashed to one space and trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(text_or_empty(c), "[\\s\\p{Z}]+", " "))
@@ -67,8 +72,10 @@ def any_word(c: Column, words: Sequence[str]) -> Column:
 
 def weighted_score(c: Column, weights: dict[str, tuple[int, Sequence[str]]]) -> Column:
     """Sum of category weights over the distinct keywords that occur literally."""
-    hits = [F.when(F.contains(c, F.lit(w)), k).otherwise(0) for k, words in weights.values() for w in words]
-    return reduce(lambda a, b: a + b, hits)
+    def total(t: Column) -> Column:
+        return reduce(lambda a, b: a + b, (F.when(F.contains(t, F.lit(w)), k).otherwise(0) for k, words in weights.values() for w in words))
+
+    return bind(c, total)
 
 
 def findall(c: Column, patterns: Sequence[str], joiner: str = " | ") -> Column:

@@ -13,7 +13,7 @@ from triagelake.operators import rules as R
 from triagelake.operators import sampling as S
 from triagelake.plans.agg_queries import _CONF, _F1, LONG, gold_long
 from triagelake.plans.registry import query
-from triagelake.plans.tables import EMERGENCY, GOLD, SILVER, low, overlap, scored, table
+from triagelake.plans.tables import EMERGENCY, GOLD, SILVER, low, overlap, scored, spread, table
 from triagelake.plans.text_queries import _alt, _logit_sql, _signal_sql, info_signal, logit
 
 L = X.LABELS
@@ -66,7 +66,7 @@ _NAMES = f"(SELECT DISTINCT {low('neighborhood_clean')} AS name FROM gazetteer)"
 @query("j5_dictionary_words", f"WITH w AS (SELECT src_ord, list_filter(regexp_split_to_array({low('tweet')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {EMERGENCY}), t AS (SELECT src_ord, unnest(w) AS name FROM w) SELECT src_ord, name FROM t JOIN {_NAMES} n USING (name) QUALIFY row_number() OVER (PARTITION BY src_ord ORDER BY length(name) DESC, name) = 1")
 def j5(spark, d):
     names = table(spark, d, "gazetteer").select(T.low(F.col("neighborhood_clean")).alias("name"))
-    return J.dictionary_match(table(spark, d, EMERGENCY), "src_ord", T.low(F.col("tweet")), names, "name")
+    return J.dictionary_match(spread(table(spark, d, EMERGENCY).select("src_ord", "tweet")), "src_ord", T.low(F.col("tweet")), names, "name")
 
 
 _DIM = "(SELECT neighborhood_clean, district, province FROM gazetteer QUALIFY row_number() OVER (PARTITION BY neighborhood_clean ORDER BY gaz_id) = 1)"
@@ -91,7 +91,7 @@ def j7(spark, d):
 @query("j8_near_duplicate_overlap")
 def j8(spark, d):
     """Every gold row's most alike silver row: 5-shingle Jaccard of at least 0.85 over whole tables."""
-    g, s = table(spark, d, GOLD), table(spark, d, SILVER)
+    g, s = (spread(table(spark, d, t).select("src_ord", "tweet")) for t in (GOLD, SILVER))
     return J.near_duplicate_join(g, s, "src_ord", T.overlap_text(F.col("tweet")))
 
 
@@ -212,7 +212,7 @@ def _weak_sql(profile: str, source: str) -> str:
 
 @query("r1_weak_labels", _weak_sql("A", "tweet"))
 def r1(spark, d):
-    t = table(spark, d, SILVER).select("src_ord", T.low(F.col("tweet")).alias("t"))
+    t = spread(table(spark, d, SILVER).select("src_ord", "tweet")).select("src_ord", T.low(F.col("tweet")).alias("t"))
     return t.select("src_ord", *(v.alias(k) for k, v in R.weak_labels(F.col("t"), "A").items()))
 
 
@@ -235,7 +235,7 @@ _CAND = f"SELECT src_ord, {', '.join(_score_sql(c) for c in X.RARE)} FROM (SELEC
 
 
 def candidates(spark, d):
-    t = table(spark, d, SILVER).select("src_ord", T.low(F.col("tweet")).alias("t")).select("src_ord", *(R.scored_rules(F.col("t"), c).alias(c) for c in X.RARE))
+    t = spread(table(spark, d, SILVER).select("src_ord", "tweet")).select("src_ord", T.low(F.col("tweet")).alias("t")).select("src_ord", *(R.scored_rules(F.col("t"), c).alias(c) for c in X.RARE))
     return t.select("src_ord", *(F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in X.RARE for k in ("score", "rules")))
 
 

@@ -11,7 +11,7 @@ from triagelake.functions import lexicon as X
 from triagelake.functions import numeric as N
 from triagelake.functions import text as T
 from triagelake.plans.registry import query
-from triagelake.plans.tables import EMERGENCY, GOLD, SILVER, clean, fold, low, overlap, squash, table
+from triagelake.plans.tables import EMERGENCY, GOLD, SILVER, clean, fold, low, overlap, spread, squash, table
 from triagelake.sources.readers import available, parts_union, with_text
 
 L = X.LABELS
@@ -361,7 +361,7 @@ def t14(spark, d):
 @query("t15_pattern_bank", " UNION ALL ".join(f"SELECT '{p}' AS profile, '{c}' AS label, count(*) FILTER (regexp_matches({low('tweet')}, '{_alt(w)}')) AS n FROM {SILVER}" for p, bank in X.WEAK.items() for c, w in bank.items()))
 def t15(spark, d):
     """All patterns of both profiles in one scan, then one row per profile and label."""
-    t = table(spark, d, SILVER).select(T.low(F.col("tweet")).alias("t"))
+    t = spread(table(spark, d, SILVER).select("tweet")).select(T.low(F.col("tweet")).alias("t"))
     keys = [(p, c, w) for p, bank in X.WEAK.items() for c, w in bank.items()]
     one = t.agg(*(F.count_if(T.any_of(F.col("t"), w)).alias(f"{p}__{c}") for p, c, w in keys))
     cells = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(c).alias("label"), F.col(f"{p}__{c}").alias("n")) for p, c, _ in keys))
@@ -514,7 +514,8 @@ def json1(spark, d):
     WHERE (regexp_matches({low('tweet')}, '{_alt(X.EMERGENCY)}') AND regexp_matches({low('tweet')}, '{_alt(X.LOCATION)}')) OR (score >= 3 AND regexp_matches(coalesce(tweet, ''), '{_alt(X.ADDRESS)}'))""")
 def triage(spark, d):
     """Scan, clean, flag, score and filter: the flagship."""
-    t = T.low(F.col("tweet"))
-    df = table(spark, d, EMERGENCY).select("src_ord", "id", "tweet", "tweet_clean").withColumn("score", T.weighted_score(T.ascii_fold(F.col("tweet")), X.URGENCY))
-    keep = (T.any_of(t, X.EMERGENCY) & T.any_of(t, X.LOCATION)) | ((F.col("score") >= 3) & T.any_of(F.col("tweet"), X.ADDRESS))
+    df = spread(table(spark, d, EMERGENCY).select("src_ord", "id", "tweet", "tweet_clean"))
+    df = df.withColumn("score", T.weighted_score(T.ascii_fold(F.col("tweet")), X.URGENCY))
+    flagged = T.bind(T.low(F.col("tweet")), lambda t: T.any_of(t, X.EMERGENCY) & T.any_of(t, X.LOCATION))
+    keep = flagged | ((F.col("score") >= 3) & T.any_of(F.col("tweet"), X.ADDRESS))
     return df.filter(keep).select("src_ord", "id", "score", T.clean(F.col("tweet_clean")).alias("text")).orderBy(F.desc("score"), "src_ord")
