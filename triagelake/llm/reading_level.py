@@ -280,12 +280,13 @@ def train(documents: DataFrame, graded: DataFrame) -> tuple[Grader, dict[str, np
     """The grader, and source, grade and held-out prediction of the training documents."""
     sketch, total = corpus_sketch(documents.filter("text IS NOT NULL").select("text"))
     grades = graded.filter("grade_level BETWEEN 1 AND 5").groupBy("doc_id").agg(F.avg("grade_level").alias("grade"))
-    sample = documents.filter("text IS NOT NULL").join(grades, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
+    texts = documents.select("doc_id", "text", "source").filter("text IS NOT NULL")  # further columns may clash
+    sample = texts.join(grades, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
     got = sample.select("text", "grade", F.coalesce("source", F.lit("")).alias("source")).toArrow()
     y = got.column("grade").to_numpy()
     source = np.array(got.column("source").to_pylist(), object)
-    texts = pa.concat_arrays(got.column("text").chunks) if got.num_rows else pa.array([], pa.string())
-    g = Grader(sketch, total).fit(texts, y, source)
+    column = pa.concat_arrays(got.column("text").chunks) if got.num_rows else pa.array([], pa.string())
+    g = Grader(sketch, total).fit(column, y, source)
     return g, {"source": source, "grade": y, "held_out": g.calibrated(g.held_out) if len(y) else y}
 
 

@@ -404,7 +404,7 @@ def components(edges: DataFrame) -> DataFrame:
         left = stage(x.repartition(parts, "a").mapInArrow(_shrink, "a bigint, b bigint"), "edges")
     out = left.coalesce(1).mapInArrow(_shrink, "a bigint, b bigint").select(F.col("b").alias("v"), F.col("a").alias("root"))
     for hook in reversed(hooks):
-        up = hook.join(out.withColumnsRenamed({"v": "root", "root": "top"}), "root", "left")
+        up = hook.join(out.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left")
         up = up.select("v", F.coalesce("top", "root").alias("root")).filter("v <> root")
         out = stage(up.unionByName(out.join(up.select("v"), "v", "left_anti")), "roots")
     return out
