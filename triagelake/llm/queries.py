@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagelake.plans.registry import shipped
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -22,7 +24,7 @@ SILVER = "need_classification_silver_63k_profilea_exgold"
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        _QUERIES[name] = f
+        _QUERIES[name] = shipped(f)
         if sql is not None:
             _SQL[name] = sql
         return f
