@@ -69,6 +69,8 @@ _NAMEWORD = r"[^\W\d_]+"
 ADDRESS = re.compile(
     rf"(?<!\w)(?:(?!(?:ev|adres|adresi)\s){_NAMEWORD}\s+(?:mahallesi|mahalle|mah|mh)\.?,?\s+)?(?:\d+\.|\d+|(?!(?:ev|adres|adresi)\s){_NAMEWORD}\.?(?:\s{_NAMEWORD}\.?)?)\s+{_STREET}(?!\w)\.?\s*,?\s*{_HOUSE}{_DETAIL}", re.I
 )
+AT_WORD = re.compile(r"[\(\[]\s?(?:at|et)\s?[\)\]]", re.I)
+HAS_DIGIT = re.compile(r"\d")
 HANDLE = re.compile(r"[@#][\w.]+|https?://\S+|\w*_\w*")
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -201,18 +203,25 @@ def find_items(text: str, given: frozenset[str], surnames: frozenset[str]) -> li
             spans.append((a, b))
             out.append((a, b, kind))
 
-    low = text.lower() if len(text.lower()) == len(text) else text
-    if "@" in text or "at" in low or "AT" in text:
+    def rest() -> str:
+        """The text with what is taken blanked out, so that an item right after another is still seen."""
+        out = text
+        for a, b in spans:
+            out = out[:a] + "\0" * (b - a) + out[b:]
+        return out
+
+    if "@" in text or AT_WORD.search(text):
         for m in EMAIL.finditer(text):
             take(m.start(), m.end(), "email")
-    if any(c.isdigit() for c in text):
+    if HAS_DIGIT.search(text):
         for rx in (ID_BEFORE, ID_AFTER, PASSPORT):
             for m in rx.finditer(text):
                 take(m.start(1), m.end(1), "id_number")
-        for m in ADDRESS.finditer(text):
+        for m in ADDRESS.finditer(rest()):
             take(m.start(), m.end(), "address")
-        for m in PHONE.finditer(text):
-            if not NOT_PHONE.search(text, max(0, m.start() - 30), m.start()):
+        left = rest()
+        for m in PHONE.finditer(left):
+            if not NOT_PHONE.search(left, max(0, m.start() - 30), m.start()):
                 take(m.start(), m.end(), "phone")
     for m in SPOKEN.finditer(text):
         take(m.start(), m.end(), "phone")
