@@ -205,7 +205,8 @@ def place_matches(rows: DataFrame, ord_: str, filled: list[str], listed: DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["token", "name", "sim", "beyond"])
 
     used = parsed.select("n", "d", "p", F.explode("tokens").alias("t")).select("n", "d", "p", "t.token", "t.flag")
-    repaired = used.select("token").distinct().mapInArrow(repair, "token string, name string, sim double, beyond int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced into one task
+    repaired = used.select("token").distinct().repartition(parts, "token").mapInArrow(repair, "token string, name string, sim double, beyond int")
     repaired = stage(repaired, "repaired")
     corrected = used.join(repaired, "token").filter("beyond >= 0 OR flag >= 4")
     gathered = corrected.groupBy("n", "d", "p").agg(F.collect_list(F.struct("name", "sim", "beyond", "flag")).alias("names"))
