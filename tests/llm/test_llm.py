@@ -85,7 +85,7 @@ def test_formatting_copies(spark):
     texts = [
         "Çadır kapı, 10.5 kişi!", "ÇADIR KAPI 10,5 KİŞİ", "çadır   kapı　105 kişi", "cadir kapi 105 kisi", "çadır kapi 105 kişi",
         "İl: A | İlçe: B | Mahalle: C | Durum: yol açık", "Durum: Yol Açık / Mahalle: C / il: a / İLÇE: B", "İl A İlçe B Mahalle C Durum yol açık", "yol açık kapı", "kapı açık yol",
-        None, "", "...", "?!", "çadır kapi 105 kişi", "x" * 200_000, "X" * 200_000,
+        None, "", "🙏🙏", "🙏 🙏", "çadır kapi 105 kişi", "x" * 200_000, "X" * 200_000,
     ]
     df = frame(spark, [(i, t, "x") for i, t in enumerate(texts)], "src_ord bigint, tweet_clean string, form string")
     got = {}

@@ -9,7 +9,7 @@ The letters I, i, ı and İ fold to one byte, since I is the capital of ı in Tu
 English. Terminals keep how each text wrote them, so that two texts that differ by ı against i, with
 no capital I between them, stay two records.
 
-Defined cases: null texts and texts without letters, digits or emoji are left out; repeated rows are
+Defined cases: null texts and texts without letters or digits are left out; repeated rows are
 copies; texts are read whole; an empty table gives no rows.
 """
 
@@ -47,6 +47,7 @@ def canonical_forms(col: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.n
     low = C.gather(t["fold"], cp)
     keep = C.gather(t["word"], low) | (C.gather(t["emoji"], low) & (low > 0xFF))
     w = C.words(low, offs)
+    keep &= (np.diff(w.offs) > 0)[C.row_of(offs)]  # emoji alone are no record
     if len(w.hash):
         is_label = np.isin(w.hash, labels)
         n = len(offs) - 1
