@@ -180,3 +180,15 @@ def test_the_library_does_not_need_the_subpackage():
     for p in pathlib.Path(triagelake.__file__).parent.rglob("*.py"):
         if "llm" not in p.parts:
             assert "triagelake.llm" not in p.read_text()
+
+
+def test_places_without_gathering_a_group(spark):
+    rows = [(i, None if i % 5 == 0 else f"g{i % 3 if i % 2 else 0}", (i * 7919) % 1000) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, g string, o int")
+    got = O.place_in_group(df, ["g"], [F.col("o"), F.col("i")], "place", "size").collect()
+    want = {}
+    for g in {r[1] for r in rows}:
+        mine = sorted((o, i) for i, x, o in rows if x == g)
+        want |= {i: (k + 1, len(mine)) for k, (_, i) in enumerate(mine)}
+    assert {r.i: (r.place, r.size) for r in got} == want and len(got) == 400
+    assert O.place_in_group(df.limit(0), ["g"], [F.col("i")]).count() == 0

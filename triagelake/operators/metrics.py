@@ -49,14 +49,13 @@ def best_thresholds(sweep: DataFrame, alpha: float = 1.0) -> DataFrame:
 
 def kappa(pairs: DataFrame, levels: int, quadratic: bool = False, *group: str) -> DataFrame:
     """Cohen's kappa of columns a and b (complete pairs only) with n and raw agreement; null where undefined."""
+    if not group:  # one group of all
+        return kappa(pairs.withColumn("_all", F.lit(0)), levels, quadratic, "_all").drop("_all")
     cells = pairs.filter("a IS NOT NULL AND b IS NOT NULL").groupBy(*group, "a", "b").agg(F.count("*").alias("n"))
-    part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     w = (F.col("a") - F.col("b")) ** 2 if quadratic else (F.col("a") != F.col("b")).cast("double")
     obs = cells.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(w * F.col("n")).alias("o"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     ma = cells.groupBy(*group, "a").agg(F.sum("n").alias("na"))
     mb = cells.groupBy(*group, "b").agg(F.sum("n").alias("nb"))
-    both = ma.join(mb, list(group)) if group else ma.crossJoin(mb)  # levels x levels rows
-    exp = both.groupBy(*group).agg(F.sum(w * F.col("na") * F.col("nb")).alias("e"))
-    joined = obs.join(exp, list(group)) if group else obs.crossJoin(exp)  # one row each
+    exp = ma.join(mb, list(group)).groupBy(*group).agg(F.sum(w * F.col("na") * F.col("nb")).alias("e"))  # levels x levels
     k = F.when(F.col("e") > 0, 1 - F.col("o") * F.col("n") / F.col("e"))
-    return joined.select(*group, "n", F.round(F.col("same") / F.col("n"), 6).alias("agreement"), F.round(k, 6).alias("kappa"))
+    return obs.join(exp, list(group)).select(*group, "n", F.round(F.col("same") / F.col("n"), 6).alias("agreement"), F.round(k, 6).alias("kappa"))

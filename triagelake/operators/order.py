@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from triagelake.store import stage
+
 
 def keep_one(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
     """The first row of every key in the given order; null keys are one key."""
@@ -45,3 +47,27 @@ def last_of_sources(frames: list[DataFrame], keys: list[str], order: str) -> Dat
     for t in tagged[1:]:
         out = out.unionByName(t)
     return keep_one(out, keys, [F.desc("source_rank"), F.desc(order)])
+
+
+def place_in_group(df: DataFrame, group: list[str], order: list[Column], place: str = "place", size: str | None = None) -> DataFrame:
+    """Rows with their place (1, 2, ...) in their group's order and, on request, the group's size.
+
+    No group is gathered in one task: rows are range-partitioned by group and order, places are counted
+    inside each range, and each range's offset is the number of rows of the group in the ranges before.
+    Null group values are one group. The order must be total.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(parts, *group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_range", *group).orderBy(*order)))
+    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*group)
+    offsets = counts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias("_whole"))
+    on = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = inside.join(offsets, on).withColumn(place, F.col("_local") + F.col("_off"))
+    if size:
+        out = out.withColumn(size, F.col("_whole"))
+    return out.drop("_range", "_local", "_r", "_off", "_whole", *(f"_g{i}" for i in range(len(group))))

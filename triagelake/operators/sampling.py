@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from triagelake.operators.order import place_in_group
+
 MAX_GROUPS = 100_000  # group sizes are allocated on the driver up to this number of groups
 
 
@@ -20,7 +22,10 @@ def uniform(df: DataFrame, n: int, seed: int, id_: str) -> DataFrame:
 
 
 def per_stratum(df: DataFrame, strata: list[str], quota: Column | int, seed: int, id_: str) -> DataFrame:
-    """The first `quota` rows of each stratum in seeded order."""
+    """The first `quota` rows of each stratum in seeded order. A fixed quota limits each task's rows
+    before the shuffle; a quota of the row needs every row's place."""
+    if not isinstance(quota, int):
+        return place_in_group(df, strata, [seeded(seed, id_), F.col(id_)], "_rn").filter(F.col("_rn") <= quota).drop("_rn")
     w = W.partitionBy(*strata).orderBy(seeded(seed, id_), F.col(id_))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= quota).drop("_rn")
 
@@ -63,11 +68,10 @@ def proportional_sample(df: DataFrame, group: str, n: int, seed: int, id_: str,
 
 def split_three(df: DataFrame, strata: list[str], seed: int, id_: str, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """Rows with split train/val/test by their place in the stratum's seeded order; a stratum of one row trains."""
-    part = W.partitionBy(*strata)
-    place = F.row_number().over(part.orderBy(seeded(seed, id_), F.col(id_)))
-    size = F.count("*").over(part)
+    placed = place_in_group(df, strata, [seeded(seed, id_), F.col(id_)], "_place", "_size")
+    place, size = F.col("_place"), F.col("_size")
     a, b = F.floor(size * shares[0] + 0.5), F.floor(size * (shares[0] + shares[1]) + 0.5)
-    return df.withColumn("split", F.when((size < 2) | (place <= a), "train").when(place <= b, "val").otherwise("test"))
+    return placed.withColumn("split", F.when((size < 2) | (place <= a), "train").when(place <= b, "val").otherwise("test")).drop("_place", "_size")
 
 
 def repair_coverage(df: DataFrame, labels: list[str], seed: int, id_: str, least: int = 1) -> DataFrame:
@@ -88,5 +92,5 @@ def multilabel_folds(df: DataFrame, labels: list[str], k: int, seed: int, id_: s
     """Rows with a fold: rows of each label set are dealt round-robin in seeded order, and sets start at
     different folds, so every label's rows spread evenly; no row is gathered."""
     key = F.concat_ws("", *(F.when(F.col(c) == 1, "1").otherwise("0") for c in labels))
-    w = W.partitionBy("_set").orderBy(seeded(seed, id_), F.col(id_))
-    return df.withColumn("_set", key).withColumn("fold", F.pmod(F.row_number().over(w) + F.crc32("_set"), F.lit(k)).cast("int")).drop("_set")
+    placed = place_in_group(df.withColumn("_set", key), ["_set"], [seeded(seed, id_), F.col(id_)], "_place")
+    return placed.withColumn("fold", F.pmod(F.col("_place") + F.crc32("_set"), F.lit(k)).cast("int")).drop("_set", "_place")

@@ -194,12 +194,13 @@ def g25(spark, d):
 
 @query("g26_integrity", f"{LONG} SELECT (SELECT count(*) - count(DISTINCT id) FROM {GOLD}) AS repeated_ids, count(*) FILTER (prob IS NULL) AS missing, count(*) FILTER (prob < 0 OR prob > 1) AS out_of_range, count(*) FILTER ((prob >= thr) <> (pred = 1)) AS disagree, sum(pred) AS positives FROM long")
 def g26(spark, d):
-    ids = table(spark, d, GOLD).agg((F.count("*") - F.count_distinct("id")).alias("repeated_ids"))
-    cells = gold_long(spark, d).agg(
-        F.count_if(F.col("prob").isNull()).alias("missing"), F.count_if((F.col("prob") < 0) | (F.col("prob") > 1)).alias("out_of_range"),
-        F.count_if((F.col("prob") >= F.col("thr")) != (F.col("pred") == 1)).alias("disagree"), F.sum("pred").alias("positives"),
+    """One aggregation over the wide rows."""
+    wide = scored(table(spark, d, GOLD))
+    total = lambda f: reduce(lambda a, b: a + b, (F.count_if(f(F.col(f"prob_{c}"), F.col(f"pred_{c}"), F.lit(X.THRESHOLDS[c]).cast("float"))) for c in L))
+    return wide.agg(
+        (F.count("*") - F.count_distinct("id")).alias("repeated_ids"), total(lambda p, y, t: p.isNull()).alias("missing"), total(lambda p, y, t: (p < 0) | (p > 1)).alias("out_of_range"),
+        total(lambda p, y, t: (p >= t) != (y == 1)).alias("disagree"), total(lambda p, y, t: y == 1).alias("positives"),
     )
-    return ids.crossJoin(cells)  # one row each
 
 
 @query("g27_findings", f"{LONG}, r AS (SELECT label, avg(pred) AS rate FROM long GROUP BY label) SELECT label, CASE WHEN rate > 0.30 THEN 'over' WHEN rate < 0.001 THEN 'under' ELSE 'ok' END AS finding FROM r")
@@ -354,8 +355,8 @@ def w1(spark, d):
 @query("w2_eight_keys", f"SELECT src_ord, row_number() OVER (PARTITION BY split_name ORDER BY label_source, urgency_score DESC, province NULLS LAST, district NULLS LAST, neighborhood NULLS LAST, veracity_label NULLS LAST, id, src_ord) AS place FROM {GOLD}")
 def w2(spark, d):
     nl = F.asc_nulls_last
-    w = W.partitionBy("split_name").orderBy("label_source", F.desc("urgency_score"), nl("province"), nl("district"), nl("neighborhood"), nl("veracity_label"), "id", "src_ord")
-    return table(spark, d, GOLD).select("src_ord", F.row_number().over(w).alias("place"))
+    order = [F.asc("label_source"), F.desc("urgency_score"), nl("province"), nl("district"), nl("neighborhood"), nl("veracity_label"), F.asc("id"), F.asc("src_ord")]
+    return O.place_in_group(table(spark, d, GOLD), ["split_name"], order).select("src_ord", "place")
 
 
 @query("w3_keep_first", f"SELECT id, src_ord, urgency_score FROM {EMERGENCY} QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_ord) = 1")
