@@ -29,19 +29,18 @@ MAX_NAME = 62  # letters of a name in the bit-parallel distance; longer tokens a
 _ACCENTS = str.maketrans("çğışöüâîûé", "cgisouaiue")
 
 
-def plain_tokens(text: str | None) -> list[tuple[str, bool]]:
-    """Folded words without accents, and whether a full stop follows."""
-    if not text:
-        return []
-    t = C.tables()
-    cp, offs = C.folded(pa.array([text]))
+def plain_tokens(texts: pa.Array) -> list[list[tuple[str, bool]]]:
+    """Per text, folded words without accents, and whether a full stop follows. Null texts have none."""
+    cp, offs = C.folded(texts)
     w = C.words(cp, offs)
-    s = "".join(map(chr, cp.tolist()))
-    return [(s[a:b].translate(_ACCENTS), b < len(s) and s[b] == ".") for a, b in zip(w.start.tolist(), w.end.tolist())]
+    s = cp.astype("<u4").tobytes().decode("utf-32-le", "replace").translate(_ACCENTS)
+    dot = np.append(cp, 0)[w.end] == ord(".")
+    flat = [(s[a:b], d) for a, b, d in zip(w.start.tolist(), w.end.tolist(), dot.tolist())]
+    return [flat[a:b] for a, b in zip(w.offs[:-1].tolist(), w.offs[1:].tolist())]
 
 
-def name_key(text: str) -> str:
-    return "".join(x for x, _ in plain_tokens(text))
+def name_keys(texts: list[str]) -> list[str]:
+    return ["".join(x for x, _ in got) for got in plain_tokens(pa.array(texts, pa.string()))]
 
 
 class Names:
@@ -49,7 +48,7 @@ class Names:
 
     def __init__(self, entries: list[tuple[int, str, str, str]]):
         self.ids = [e[0] for e in entries]
-        self.keys = [tuple(name_key(x or "") for x in e[1:]) for e in entries]
+        self.keys = list(zip(*(name_keys([e[i] or "" for e in entries]) for i in (1, 2, 3))))
         self.vocab: list[str] = []
         self.at: dict[str, int] = {}
         levels: dict[str, set[int]] = defaultdict(set)
@@ -162,12 +161,10 @@ def place_matches(rows: DataFrame, ord_: str, filled: list[str], listed: DataFra
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(3)]
             out = []
-            for triple in zip(*cols):
+            for triple in zip(*(plain_tokens(b.column(i)) for i in range(3))):
                 mine: dict[str, int] = {}
-                for level, text in enumerate(triple):
-                    got = plain_tokens(text)
+                for level, got in enumerate(triple):
                     for i, (w, stop) in enumerate(got):
                         flag = (1 if level == 0 else 2) | (4 if stop and level and 3 <= len(w) <= 5 else 0)
                         mine[w] = mine.get(w, 0) | flag
@@ -177,7 +174,8 @@ def place_matches(rows: DataFrame, ord_: str, filled: list[str], listed: DataFra
                 out.append([{"token": k, "flag": v} for k, v in mine.items()])
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.struct([("token", pa.string()), ("flag", pa.int32())])))], ["n", "d", "p", "rows", "tokens"])
 
-    parsed = stage(values.mapInArrow(split, "n string, d string, p string, rows bigint, tokens array<struct<token:string,flag:int>>"), "values")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    parsed = stage(values.repartition(parts, "n", "d", "p").mapInArrow(split, "n string, d string, p string, rows bigint, tokens array<struct<token:string,flag:int>>"), "values")
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = held.value
@@ -205,7 +203,6 @@ def place_matches(rows: DataFrame, ord_: str, filled: list[str], listed: DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["token", "name", "sim", "beyond"])
 
     used = parsed.select("n", "d", "p", F.explode("tokens").alias("t")).select("n", "d", "p", "t.token", "t.flag")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced into one task
     repaired = used.select("token").distinct().repartition(parts, "token").mapInArrow(repair, "token string, name string, sim double, beyond int")
     repaired = stage(repaired, "repaired")
     corrected = used.join(repaired, "token").filter("beyond >= 0 OR flag >= 4")
