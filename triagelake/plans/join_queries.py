@@ -329,7 +329,7 @@ def r13(spark, d):
     return M.confusion(long, "split_name").select("split_name", F.col("label").alias("profile"), "tp", "fp", "fn", "f1")
 
 
-@query("r14_dimension_rows", "SELECT province, region, priority FROM (SELECT DISTINCT province FROM gazetteer) LEFT JOIN (VALUES ('Kuzey', 'Marmara', 3)) t(name, region, priority) ON province = name" .replace("SELECT province, region, priority", "SELECT province, coalesce(region, 'Unknown') AS region, coalesce(priority, 0) AS priority"))
+@query("r14_dimension_rows", "SELECT province, coalesce(region, 'Unknown') AS region, coalesce(priority, 0) AS priority FROM (SELECT DISTINCT province FROM gazetteer) LEFT JOIN (VALUES " + ", ".join(f"('{n}', '{r}', {p})" for r, (p, names) in X.REGIONS.items() for n in names) + ") t(name, region, priority) ON province = name")
 def r14(spark, d):
     cat = spark.createDataFrame([(name, r, p) for r, (p, names) in X.REGIONS.items() for name in names], "province string, region string, priority int")
     return table(spark, d, "gazetteer").select("province").distinct().join(F.broadcast(cat), "province", "left").select("province", F.coalesce("region", F.lit("Unknown")).alias("region"), F.coalesce("priority", F.lit(0)).alias("priority"))
