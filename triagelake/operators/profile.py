@@ -26,8 +26,9 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def text_conflicts(df: DataFrame, key: Column, columns: list[str]) -> DataFrame:
-    """Groups of equal keys in which some column has several values."""
-    out = df.withColumn("_key", key).filter(F.col("_key") != "").groupBy("_key").agg(F.count("*").alias("n"), *(F.count_distinct(c).alias(c) for c in columns))
+    """Groups of equal keys in which some column has several values; nulls are none. Values are kept as
+    sets, combined before the shuffle: distinct counts would copy every row once a column."""
+    out = df.withColumn("_key", key).filter(F.col("_key") != "").groupBy("_key").agg(F.count("*").alias("n"), *(F.size(F.collect_set(c)).cast("long").alias(c) for c in columns))
     return out.filter((F.col("n") > 1) & (F.greatest(*columns) > 1)).withColumnRenamed("_key", "key")
 
 

@@ -115,6 +115,16 @@ def g16(spark, d):
     return P.text_conflicts(table(spark, d, GOLD), T.overlap_text(F.col("tweet")), ["saglik", "barinma"])
 
 
+_CONFLICT = [*L, "aciliyet_0_3", "veracity_label"]
+
+
+@query("g16_all_label_conflicts", f"SELECT {overlap('tweet')} AS key, count(*) AS n, {', '.join(f"count(DISTINCT trim(coalesce({c}::VARCHAR, ''))) AS {c}" for c in _CONFLICT)} FROM {GOLD} WHERE {overlap('tweet')} <> '' GROUP BY 1 HAVING count(*) > 1 AND greatest({', '.join(f"count(DISTINCT trim(coalesce({c}::VARCHAR, '')))" for c in _CONFLICT)}) > 1")
+def g16_all(spark, d):
+    """Over every label column; a blank is a value of its own, so a blank beside a value is a conflict."""
+    df = table(spark, d, GOLD)
+    return P.text_conflicts(df.withColumns({c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in _CONFLICT}), T.overlap_text(F.col("tweet")), _CONFLICT)
+
+
 _CONF = "sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y = 0 AND pred = 0 THEN 1 ELSE 0 END) AS tn"
 
 
