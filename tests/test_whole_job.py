@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from triagelake.functions.lexicon import LABELS
 from triagelake.plans import registry
-from triagelake.plans.tables import GOLD
+from triagelake.plans.tables import EMERGENCY, GOLD
 
 
 def test_conflicts_in_every_label_column(spark, tmp_path):
@@ -19,3 +19,11 @@ def test_conflicts_in_every_label_column(spark, tmp_path):
     spark.createDataFrame(rows, ", ".join(["tweet string", *(f"{c} int" for c in columns[:-1]), "veracity_label string"])).write.parquet(f"{tmp_path}/{GOLD}.parquet")
     got = {r["key"]: [c for c in columns if r[c] > 1] for r in registry.queries()["g16_all_label_conflicts"](spark, str(tmp_path)).collect()}
     assert got == {f"metin {i}": [c] for i, c in enumerate(columns)} | {"bos": ["veracity_label"]}
+
+
+def test_every_row_has_its_place_in_the_mixed_sort(spark, tmp_path):
+    rows = [(i, i * 7 % 5, None if i % 11 == 0 else float(i * 13 % 17)) for i in range(1000)]
+    spark.createDataFrame(rows, "src_ord long, urgency_score int, total_engagement double").repartition(5).write.parquet(f"{tmp_path}/{EMERGENCY}.parquet")
+    got = sorted(tuple(r)[::-1] for r in registry.queries()["w1_whole_sort"](spark, str(tmp_path)).select("src_ord", "place").collect())
+    want = sorted(rows, key=lambda r: (-r[1], r[2] is None, -(r[2] or 0), r[0]))
+    assert got == [(k, r[0]) for k, r in enumerate(want, 1)]

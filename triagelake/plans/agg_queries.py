@@ -362,6 +362,13 @@ def w1(spark, d):
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("urgency_score"), F.desc_nulls_last("total_engagement"), "src_ord"))).select("src_ord", "place")
 
 
+@query("w1_whole_sort", f"SELECT src_ord, row_number() OVER (ORDER BY urgency_score DESC, total_engagement DESC NULLS LAST, src_ord) AS place FROM {EMERGENCY}")
+def w1_whole(spark, d):
+    """Every row with its place in the mixed-direction sort, by ranges: no task sorts the whole table."""
+    order = [F.desc("urgency_score"), F.desc_nulls_last("total_engagement"), F.asc("src_ord")]
+    return O.place_in_group(table(spark, d, EMERGENCY).select("src_ord", "urgency_score", "total_engagement"), [], order).select("src_ord", "place")
+
+
 @query("w2_eight_keys", f"SELECT src_ord, row_number() OVER (PARTITION BY split_name ORDER BY label_source, urgency_score DESC, province NULLS LAST, district NULLS LAST, neighborhood NULLS LAST, veracity_label NULLS LAST, id, src_ord) AS place FROM {GOLD}")
 def w2(spark, d):
     nl = F.asc_nulls_last
