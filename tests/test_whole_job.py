@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from triagelake.functions.lexicon import LABELS
+from triagelake.operators import joins as J
+from triagelake.operators import sampling as S
 from triagelake.plans import registry
-from triagelake.plans.tables import EMERGENCY, GOLD
+from triagelake.plans.tables import EMERGENCY, GOLD, SILVER
 
 
 def test_conflicts_in_every_label_column(spark, tmp_path):
@@ -27,3 +32,21 @@ def test_every_row_has_its_place_in_the_mixed_sort(spark, tmp_path):
     got = sorted(tuple(r)[::-1] for r in registry.queries()["w1_whole_sort"](spark, str(tmp_path)).select("src_ord", "place").collect())
     want = sorted(rows, key=lambda r: (-r[1], r[2] is None, -(r[2] or 0), r[0]))
     assert got == [(k, r[0]) for k, r in enumerate(want, 1)]
+
+
+def test_dictionary_names_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "bir iki üç dört beş altı yedi"), (2, "üç dört"), (3, "iki üç dört beş")], "k int, t string")
+    names = spark.createDataFrame([("iki üç dört beş",), ("bir iki üç dört beş altı",), ("dört",), (None,)], "name string")
+    got = {r.k: r["name"] for r in J.dictionary_match(docs, "k", F.col("t"), names, "name").collect()}
+    assert got == {1: "bir iki üç dört beş altı", 2: "dört", 3: "iki üç dört beş"}
+    assert J.dictionary_match(docs, "k", F.col("t"), names.limit(0), "name").count() == 0
+
+
+def test_allocation_fails_rather_than_lose_groups(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(f"p{i % 4}",) for i in range(40)], "province string").write.parquet(f"{tmp_path}/{SILVER}.parquet")
+    k3 = registry.queries()["k3_proportional_allocation"]
+    monkeypatch.setattr(S, "MAX_GROUPS", 4)
+    assert k3(spark, str(tmp_path)).count() == 4
+    monkeypatch.setattr(S, "MAX_GROUPS", 3)
+    with pytest.raises(ValueError):
+        k3(spark, str(tmp_path))

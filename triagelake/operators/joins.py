@@ -47,21 +47,24 @@ def not_equal_tables(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def dictionary_match(docs: DataFrame, key: str, text: Column, names: DataFrame, name: str, max_words: int = 3) -> DataFrame:
+def dictionary_match(docs: DataFrame, key: str, text: Column, names: DataFrame, name: str) -> DataFrame:
     """(key, name): the longest dictionary name that occurs in the text as whole words, ties by name.
 
-    Texts become runs of 1 to max_words words, joined on equality: no text meets the whole dictionary,
-    and the dictionary has no cap. Names are compared as given, lower-cased by the caller.
+    Texts become runs of as many words as some name has, joined on equality: no text meets the whole
+    dictionary, and neither the dictionary nor the length of its names has a cap. Names are compared as
+    given, lower-cased by the caller.
     """
+    names = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    lengths = sorted(r["k"] for r in names.select(F.size(F.split(name, " ")).alias("k")).distinct().collect()) or [1]
     words = docs.select(key, F.filter(F.split(text, "[^\\p{L}\\p{N}]+"), lambda x: x != "").alias("_w"))
 
     def runs_of(k: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (k - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.lit(k)), " "))
 
-    grams = F.flatten(F.array(*(runs_of(k) for k in range(1, max_words + 1))))
+    grams = F.flatten(F.array(*(runs_of(k) for k in lengths)))
     runs = words.filter(F.size("_w") > 0).select(key, F.explode(F.array_distinct(grams)).alias(name))
-    found = runs.join(small(names.select(name).distinct()), name)
+    found = runs.join(small(names), name)
     return found.groupBy(key).agg(F.min_by(name, F.struct(-F.length(name), F.col(name))).alias(name))
 
 

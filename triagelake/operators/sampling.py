@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,11 +55,17 @@ def proportional_allocation(sizes: list[int], n: int, least: int = 0) -> list[in
     return [int(x) for x in got]
 
 
-def proportional_sample(df: DataFrame, group: str, n: int, seed: int, id_: str, least: int = 1) -> DataFrame:
-    """A sample of n whose groups (nulls are one) have their share, at least one row each if n allows."""
+def group_sizes(df: DataFrame, group: str) -> list[Row]:
+    """(group, size) of every group, nulls first; more groups than the driver takes are an error."""
     sizes = df.groupBy(group).agg(F.count("*").alias("size")).orderBy(F.asc_nulls_first(group)).limit(MAX_GROUPS + 1).collect()
     if len(sizes) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
+    return sizes
+
+
+def proportional_sample(df: DataFrame, group: str, n: int, seed: int, id_: str, least: int = 1) -> DataFrame:
+    """A sample of n whose groups (nulls are one) have their share, at least one row each if n allows."""
+    sizes = group_sizes(df, group)
     quota = proportional_allocation([r["size"] for r in sizes], n, least if len(sizes) <= n else 0)
     plan = df.sparkSession.createDataFrame([(r[group], q) for r, q in zip(sizes, quota)], f"_g {df.schema[group].dataType.simpleString()}, _quota int")
     joined = df.join(F.broadcast(plan), df[group].eqNullSafe(plan["_g"]))

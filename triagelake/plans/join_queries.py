@@ -139,7 +139,7 @@ def k2(spark, d):
 @query("k3_proportional_allocation")
 def k3(spark, d):
     """Quotas of 300 rows over the provinces by largest remainder."""
-    rows = table(spark, d, SILVER).groupBy("province").agg(F.count("*").alias("size")).orderBy(F.asc_nulls_first("province")).limit(S.MAX_GROUPS).collect()
+    rows = S.group_sizes(table(spark, d, SILVER), "province")
     quota = S.proportional_allocation([r["size"] for r in rows], 300, 1)
     return spark.createDataFrame([(r["province"], r["size"], q) for r, q in zip(rows, quota)], "province string, size bigint, quota int")
 
