@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from triagelake.functions.lexicon import LABELS
 from triagelake.operators import joins as J
 from triagelake.operators import sampling as S
-from triagelake.plans import registry
+from triagelake.plans import agg_queries, registry
 from triagelake.plans.tables import EMERGENCY, GOLD, SILVER
 
 
@@ -50,3 +50,24 @@ def test_allocation_fails_rather_than_lose_groups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "MAX_GROUPS", 3)
     with pytest.raises(ValueError):
         k3(spark, str(tmp_path))
+
+
+def test_rare_labels_decide_between_equal_macros(spark):
+    cells = [("a", "guvenlik", 9, 1, 1), ("a", "saglik", 1, 9, 9), ("b", "guvenlik", 1, 9, 9), ("b", "saglik", 90, 10, 10)]
+    conf = spark.createDataFrame([(t, c, tp, fp, fn, 2 * tp / (2 * tp + fp + fn)) for t, c, tp, fp, fn in cells], "tag string, label string, tp long, fp long, fn long, f1 double")
+    got = agg_queries.rank_with_rare(conf, "tag").orderBy("place").collect()
+    assert [r["tag"] for r in got] == ["a", "b"] and got[0]["macro"] == got[1]["macro"] and got[0]["micro"] < got[1]["micro"]
+
+
+def test_six_slices_hold_every_row(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/{GOLD}.parquet").count()
+    got = registry.queries()["g23_six_slices"](spark, folder).groupBy("slice").agg(F.sum("n").alias("n")).collect()
+    assert {r["slice"]: r["n"] for r in got} == dict.fromkeys(("aciliyet_0_3", "urgency_score", "text_length", "gold_label_count", "province", "province_district"), rows)
+
+
+def test_false_alarms_beside_gold_labels(spark):
+    folder = "/root/testdata/sf0.001"
+    wide = [r.asDict() for r in agg_queries.scored(spark.read.parquet(f"{folder}/{GOLD}.parquet")).collect()]
+    want = {(a, b): n for a in LABELS for b in LABELS if (n := sum(r[a] == 0 and r[f"pred_{a}"] == 1 and r[b] == 1 for r in wide))}
+    assert want and {(r["fired"], r["gold"]): r["n"] for r in registry.queries()["g28_fp_cofire"](spark, folder).collect()} == want

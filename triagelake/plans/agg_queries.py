@@ -190,6 +190,29 @@ def g23(spark, d):
     return out.select(which.alias("slice"), value.alias("value"), "n", "errors")
 
 
+_SIX = {
+    "aciliyet_0_3": "coalesce(aciliyet_0_3::VARCHAR, '(missing)')", "urgency_score": "coalesce(urgency_score::VARCHAR, '(missing)')",
+    "text_length": "CASE WHEN length(coalesce(tweet_clean, '')) < 120 THEN 'short(<120)' WHEN length(coalesce(tweet_clean, '')) < 220 THEN 'medium(120-219)' ELSE 'long(>=220)' END",
+    "gold_label_count": "CASE WHEN k >= 3 THEN '3+' ELSE k::VARCHAR END", "province": "coalesce(province, '(missing)')", "province_district": "coalesce(province, '') || ' / ' || coalesce(district, '')",
+}
+
+
+@query("g23_six_slices", f"{LONG}, e AS (SELECT src_ord, max(CASE WHEN y <> pred THEN 1 ELSE 0 END) AS err, sum(y) AS k FROM long GROUP BY src_ord), w AS (SELECT * FROM e JOIN {GOLD} USING (src_ord)) SELECT slice, value, count(*) AS n, sum(err) AS errors, round(avg(err), 6) AS rate FROM ({' UNION ALL '.join(f"SELECT '{k}' AS slice, {v} AS value, err FROM w" for k, v in _SIX.items())}) GROUP BY slice, value")
+def g23_six(spark, d):
+    """The reference's six slices, every group of each; a row gives six cells, combined before the shuffle."""
+    missing = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(missing)"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    n, k = F.length(blank("tweet_clean")), reduce(lambda a, b: a + b, (F.col(c) for c in L))
+    value = {
+        "aciliyet_0_3": missing("aciliyet_0_3"), "urgency_score": missing("urgency_score"), "text_length": F.when(n < 120, "short(<120)").when(n < 220, "medium(120-219)").otherwise("long(>=220)"),
+        "gold_label_count": F.when(k >= 3, "3+").otherwise(k.cast("string")), "province": missing("province"), "province_district": F.concat(blank("province"), F.lit(" / "), blank("district")),
+    }
+    err = F.greatest(*((F.col(c) != F.col(f"pred_{c}")).cast("int") for c in L))
+    cells = F.array(*(F.struct(F.lit(s).alias("slice"), v.alias("value")) for s, v in value.items()))
+    rows = scored(table(spark, d, GOLD)).select(err.alias("err"), F.inline(cells))
+    return rows.groupBy("slice", "value").agg(F.count("*").alias("n"), F.sum("err").alias("errors"), F.round(F.avg("err"), 6).alias("rate"))
+
+
 @query("g24_slice_positive_rates", f"SELECT province, count(*) AS n, {', '.join(f'round(avg(CASE WHEN {c} = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS {c}' for c in L)} FROM {GOLD} GROUP BY province ORDER BY n DESC, province NULLS LAST LIMIT 15")
 def g24(spark, d):
     out = table(spark, d, GOLD).groupBy("province").agg(F.count("*").alias("n"), *(F.round(F.avg(F.when(F.col(c) == 1, 1.0).otherwise(0.0)), 6).alias(c) for c in L))
@@ -229,6 +252,16 @@ def g28(spark, d):
     return rows.filter("missed <> fired").groupBy("missed", "fired").agg(F.count("*").alias("n"))
 
 
+@query("g28_fp_cofire", f"{LONG} SELECT a.label AS fired, b.label AS gold, count(*) AS n FROM long a JOIN long b ON a.src_ord = b.src_ord AND a.label <> b.label WHERE a.y = 0 AND a.pred = 1 AND b.y = 1 GROUP BY 1, 2")
+def g28_fp(spark, d):
+    """The other half of g28: of the rows where a label fired wrongly, how often each other label is gold."""
+    wide = scored(table(spark, d, GOLD))
+    wrong = F.array_compact(F.array(*(F.when((F.col(c) == 0) & (F.col(f"pred_{c}") == 1), F.lit(c)) for c in L)))
+    gold = F.array_compact(F.array(*(F.when(F.col(c) == 1, F.lit(c)) for c in L)))
+    rows = wide.select(F.explode(wrong).alias("fired"), gold.alias("g")).select("fired", F.explode("g").alias("gold"))
+    return rows.groupBy("fired", "gold").agg(F.count("*").alias("n"))
+
+
 @query("g29_cooccurrence", f"{LONG} SELECT a.label AS first, b.label AS second, count(*) AS n FROM long a JOIN long b ON a.src_ord = b.src_ord AND a.label < b.label WHERE a.y = 1 AND b.y = 1 GROUP BY 1, 2")
 def g29(spark, d):
     have = F.array_sort(F.array_compact(F.array(*(F.when(F.col(c) == 1, F.lit(c)) for c in L))))
@@ -445,6 +478,21 @@ def w13(spark, d):
     return s.withColumn("place", F.row_number().over(W.orderBy(F.desc("macro"), F.desc("micro"), "tag")))
 
 
+_MIN_F1 = ("altyapi", "guvenlik", "psikolojik")  # the rare labels of the reference's ranking
+
+
+@query("w13_rank_with_rare", f"{LONG}, c AS (SELECT label_source AS tag, label, {_CONF} FROM long GROUP BY 1, 2), s AS (SELECT tag, round(avg({_F1}), 6) AS macro, round(min({_F1}) FILTER (label IN {_MIN_F1}), 6) AS rare_min, round({_r('2 * sum(tp)', '(2 * sum(tp) + sum(fp) + sum(fn))')}, 6) AS micro FROM c GROUP BY tag) SELECT *, row_number() OVER (ORDER BY macro DESC, rare_min DESC, micro DESC, tag) AS place FROM s")
+def w13_rare(spark, d):
+    return rank_with_rare(M.confusion(gold_long(spark, d, "label_source"), "label_source"), "label_source")
+
+
+def rank_with_rare(conf, tag):
+    """Tags by macro F1, then the least F1 of a rare label, then micro F1."""
+    rare = conf.filter(F.col("label").isin(*_MIN_F1)).groupBy(tag).agg(F.min("f1").alias("rare_min"))
+    s = M.micro_macro(conf, tag).join(rare, tag).select(F.col(tag).alias("tag"), F.col("f1_macro").alias("macro"), "rare_min", F.col("f1_micro").alias("micro"))
+    return s.withColumn("place", F.row_number().over(W.orderBy(F.desc("macro"), F.desc("rare_min"), F.desc("micro"), "tag")))
+
+
 @query("w16_two_per_place", f"SELECT neighborhood, src_ord FROM {GOLD} WHERE neighborhood IS NOT NULL QUALIFY row_number() OVER (PARTITION BY neighborhood ORDER BY src_ord) <= 2")
 def w16(spark, d):
     return O.top_per_group(table(spark, d, GOLD).filter("neighborhood IS NOT NULL"), ["neighborhood"], [F.col("src_ord")], 2).select("neighborhood", "src_ord")
