@@ -71,3 +71,12 @@ def test_false_alarms_beside_gold_labels(spark):
     wide = [r.asDict() for r in agg_queries.scored(spark.read.parquet(f"{folder}/{GOLD}.parquet")).collect()]
     want = {(a, b): n for a in LABELS for b in LABELS if (n := sum(r[a] == 0 and r[f"pred_{a}"] == 1 and r[b] == 1 for r in wide))}
     assert want and {(r["fired"], r["gold"]): r["n"] for r in registry.queries()["g28_fp_cofire"](spark, folder).collect()} == want
+
+
+def test_coercions_of_dirty_gold_cells(spark, tmp_path):
+    rows = [dict.fromkeys(LABELS, 0) | {"src_ord": 1, "saglik": None, "veracity_label": " Fake "}, dict.fromkeys(LABELS, 1) | {"src_ord": 2, "saglik": 2, "veracity_label": None}]
+    spark.createDataFrame(rows, ", ".join(["src_ord long", *(f"{c} int" for c in LABELS), "veracity_label string"])).write.parquet(f"{tmp_path}/{GOLD}.parquet")
+    got = {(r["src_ord"], r["name"]): (r["lenient"], r["missing"], r["zero"], r["violation"], r["class"], r["n"]) for r in registry.queries()["c2_gold_coercions"](spark, str(tmp_path)).collect()}
+    assert len(got) == 20
+    assert got[1, "saglik"] == (0, None, 0, True, "", -1) and got[2, "saglik"] == (2, None, None, True, "2", 2) and got[2, "barinma"] == (1, 1, 1, False, "1", 1)
+    assert got[1, "veracity_label"] == (0, None, None, True, "asilsiz", -1) and got[2, "veracity_label"] == (0, None, 0, True, "", -1)

@@ -258,6 +258,20 @@ def c7(spark, d):
     return _raw(spark).select("k", K.int_or(F.col("v"), -1).alias("n"))
 
 
+_COERCED = [*L, "veracity_label"]
+_CLASS = f"CASE {' '.join(f"WHEN {_W} = '{a}' THEN '{b}'" for a, b in K.CREDIBILITY.items())} ELSE {_W} END"
+
+
+@query("c2_gold_coercions", f"SELECT src_ord, name, v, coalesce({_NUM}, 0) AS lenient, {_bool_sql(False)} AS missing, {_bool_sql(True)} AS zero, ({_bool_sql(False)}) IS NULL AS violation, {_CLASS} AS class, coalesce(TRY_CAST(TRY_CAST(trim(v) AS DOUBLE) AS BIGINT), -1) AS n FROM ({' UNION ALL '.join(f"SELECT src_ord, '{c}' AS name, {c}::VARCHAR AS v FROM {GOLD}" for c in _COERCED)})")
+def c2_gold(spark, d):
+    """The coercions of c2, c3, c4, c6 and c7 on every label and credibility cell of gold, as text."""
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in _COERCED))
+    v, word = F.col("v"), K.boolean_word(F.col("v"))
+    return table(spark, d, GOLD).select("src_ord", F.inline(cells)).select(
+        "src_ord", "name", "v", K.lenient_binary(v).alias("lenient"), word.alias("missing"), K.boolean_word(v, True).alias("zero"), word.isNull().alias("violation"), K.credibility(v).alias("class"), K.int_or(v, -1).alias("n")
+    )
+
+
 @query("c8_dates", f"SELECT src_ord, TRY_CAST(CASE WHEN regexp_matches(date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN date END AS DATE) AS day FROM {EMERGENCY}")
 def c8(spark, d):
     day = F.when(F.col("date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("date")).try_cast("date")
