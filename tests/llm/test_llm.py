@@ -344,6 +344,29 @@ def test_leaked_items(spark):
     assert leaks.leaked_items(df, "doc_id", "text", items.limit(0), "item_id", "text").collect() == []
 
 
+def test_stock_phrases_are_no_leak(spark):
+    r = random.Random(5)
+    stock = [[f"kalıp{k}x{i}" for i in range(4)] for k in range(8)]
+    own = lambda: f"öz{r.randrange(10**6)}"
+
+    def built(n):
+        out = []
+        for k in r.sample(range(8), n):
+            out += stock[k] + [own()]
+        return out
+
+    item = stock[0] + [own()] + stock[1] + [own()] + stock[2] + [own()] + stock[3]
+    decoys = [(i, " ".join(stock[0] + [own()] + stock[1] + [own()] + stock[2] + [own()] + built(3))) for i in range(60)]
+    kept = item[:2] + ["değişik"] + item[3:12]
+    docs = decoys + [(100, " ".join(item)), (101, " ".join([own(), *kept, own()])), (102, " ".join([own(), *item[3:13], own()]))]
+    df, items = frame(spark, docs, "doc_id bigint, text string"), frame(spark, [(1, " ".join(item))], "item_id bigint, text string")
+    got = sorted(x.doc_id for x in leaks.leaked_items(df, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == [100, 101, 102]
+    copies = frame(spark, docs + [(1000 + i, " ".join(item)) for i in range(60)], "doc_id bigint, text string")  # half of all rows hold the item: its words stay evidence
+    got = sorted(x.doc_id for x in leaks.leaked_items(copies, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == [100, 101, 102, *range(1000, 1060)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5), min_size=3, max_size=9), st.lists(st.integers(1, 5), min_size=1, max_size=14))
 def test_myers_equals_plain_distance(p, t):
