@@ -188,18 +188,26 @@ def test_long_records_are_cut_by_content(spark):
 
 def test_tilt_and_pivotal():
     held, wanted = np.array([1000.0, 50, 3, 0]), np.array([100.0, 20, 5, 4])
-    p = target_sample.tilt(held, wanted, 0.1)
-    assert np.allclose(p * held, [100, 20, 3, 0])
+    p, gap = target_sample.calibrate(held, wanted, np.array([[0, 0], [0, 1], [1, 0], [1, 1]]))
+    assert np.allclose(p * held, [100, 20, 3, 0]) and np.allclose(gap, [0, 0, 2, 4])
     rng = np.random.default_rng(1)
     probs = np.array([0.2, 0.7, 0.6, 0.5, 1.0, 0.3, 0.7])
     counts = np.zeros(len(probs))
     for _ in range(4000):
-        got = target_sample.pivotal(probs, rng.random(len(probs)))
+        got = target_sample.pivotal(probs, rng.integers(0, 2**63, len(probs), dtype=np.uint64))
         assert got.sum() == pytest.approx(4)
         counts += got
     assert np.abs(counts / 4000 - probs).max() < 0.04
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5000), st.integers(0, 6000)), min_size=4, max_size=4))
+def test_calibration_meets_what_can_be_met(cells):
+    held, wanted = (np.array(x, float) for x in zip(*cells))
+    p, gap = target_sample.calibrate(held, wanted, np.array([[0, 0], [0, 1], [1, 0], [1, 1]]))
+    assert np.allclose(p * held, np.minimum(held, wanted), atol=1e-3) and np.allclose(gap, np.maximum(0, wanted - held))
+
+
 def test_target_sample(spark):
     rows = [(f"id{i % 90}", ["train", "val"][i % 2], int(i % 90 < 30), int(i % 90 < 5), "x") for i in range(180)] + [(None, "val", 0, 0, "x"), ("n", None, None, 1, "x"), ("m", "val", 2, 0, "x")]
     gold = frame(spark, rows, "id string, split_name string, guvenlik int, psikolojik int, plan_id string")

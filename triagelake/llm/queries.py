@@ -180,10 +180,10 @@ def p6_masked(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, GOLD), "src_ord", ["tweet", "tweet_clean"]).select(F.col("ord").alias("src_ord"), "field_name", "masked")
 
 
-def _sample(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    from triagelake.llm.target_sample import target_sample
+def _sample(spark: SparkSession, folder: str, draw: bool = True) -> tuple[DataFrame, DataFrame]:
+    from triagelake.llm.target_sample import plan_report, target_sample
 
-    return target_sample(table(spark, folder, GOLD), "id", "split_name", ["guvenlik", "psikolojik"], table(spark, folder, "sampling_targets"))
+    return (target_sample if draw else plan_report)(table(spark, folder, GOLD), "id", "split_name", ["guvenlik", "psikolojik"], table(spark, folder, "sampling_targets"))
 
 
 P1_FOUND = """
@@ -204,7 +204,7 @@ WHERE available < greatest(min_rows, round(target_share * sample_size, 6))
 @query("p1_found", P1_FOUND)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of the plans that gold rows cannot fill."""
-    _, report = _sample(spark, folder)
+    _, report = _sample(spark, folder, draw=False)
     return report.filter("gap > 0").select("plan_id", "guvenlik", "psikolojik")
 
 
@@ -216,8 +216,8 @@ def p1_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p1_report")
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Available, needed and drawn ids of every plan's cells, with the gap."""
-    return _sample(spark, folder)[1]
+    """Available, needed and drawn ids of every plan's cells, with the gap and the shares."""
+    return _sample(spark, folder, draw=False)[1]
 
 
 @query("p10_found")
