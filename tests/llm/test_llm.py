@@ -274,6 +274,26 @@ def test_names_are_learned_from_the_corpus(spark):
     assert empty.collect() == []
 
 
+def test_terms_beyond_the_bound_are_joined(spark, monkeypatch):
+    people = [f"{g} {s}" for g in ("Ayşe", "Murat", "Deniz") for s in ("Karataş", "Demirsöz", "Aybulut")]
+    rows = [(i, f"Haber veren {n}, tel 0592 123 45 67. Dün {n} geldi, sonra gitti; yol kapalı {i}") for i, n in enumerate(people * 2)] + [(90, None), (91, ""), (92, "Murat Demirsöz")]
+    rows += [(100 + i, f"yol {i} kapalı kaldı çünkü kar yağdı, ekip bekliyor ve araç yarın gelir belki") for i in range(40)]
+    df = frame(spark, rows, "src_ord bigint, tweet string")
+    run = lambda: sorted((r.ord, r.masked or "", str(r.items)) for r in personal_data.personal_data(df, "src_ord", ["tweet"]).collect())
+    plain = run()
+    assert plain[0][1] == "Haber veren <NAME>, tel <PHONE>. Dün <NAME> geldi, sonra gitti; yol kapalı 0" and plain[20][1] == "<NAME>"
+    monkeypatch.setattr(personal_data, "MAX_TERMS", 0)
+    assert run() == plain
+
+
+def test_candidates_rest_on_what_their_terms_disclose():
+    told = personal_data.Disclosure(np.array([1, 2, 3]), np.array([100, 100, 5]), np.array([0, 95, 0]))
+    told.base = 0.01
+    accepts = lambda certain, shaped, *terms: told.accepts(certain, shaped, np.array(terms, np.int64))
+    assert accepts(True, True, 1) and not accepts(False, True, 1) and accepts(False, True, 1, 2) and accepts(False, True, 3) and accepts(False, True)
+    assert accepts(False, False, 2) and not accepts(False, False, 1) and not accepts(False, False, 3)
+
+
 # p7 ---------------------------------------------------------------------------------------------
 
 

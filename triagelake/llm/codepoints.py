@@ -41,6 +41,7 @@ def tables() -> dict[str, np.ndarray]:
     same = np.arange(TABLE, dtype=np.uint32)
     plain, lower, fold = same.copy(), same.copy(), same.copy()
     word = np.zeros(TABLE, bool)
+    letter = np.zeros(TABLE, bool)
     upper = np.zeros(TABLE, bool)
     hidden = np.zeros(TABLE, bool)
     ccc = np.zeros(TABLE, np.uint8)
@@ -50,7 +51,7 @@ def tables() -> dict[str, np.ndarray]:
     first, second, whole = [], [], []
     for c in range(0x80):
         ch = chr(c)
-        word[c], digit[c], upper[c] = ch.isalnum(), ch.isdigit(), ch.isupper()
+        word[c], letter[c], digit[c], upper[c] = ch.isalnum(), ch.isalpha(), ch.isdigit(), ch.isupper()
         lower[c] = ord(ch.lower())
     for c in range(0x80, TABLE):
         ch = chr(c)
@@ -59,6 +60,7 @@ def tables() -> dict[str, np.ndarray]:
             continue
         if cat[0] in "LNM":
             word[c] = True
+            letter[c] = cat[0] == "L"
             digit[c] = cat == "Nd"
             upper[c] = cat == "Lu"
         elif cat == "Zs":
@@ -99,7 +101,7 @@ def tables() -> dict[str, np.ndarray]:
     key = np.array(first, np.uint64) << np.uint64(21) | np.array(second, np.uint64)
     order = np.argsort(key)
     return {
-        "plain": plain, "look": look, "lower": lower, "fold": fold, "word": word, "hidden": hidden,
+        "plain": plain, "look": look, "lower": lower, "fold": fold, "word": word, "letter": letter, "hidden": hidden,
         "ccc": ccc, "singles": singles, "emoji": emoji, "digit": digit, "upper": upper,
         "pair": key[order], "pair_to": np.array(whole, np.uint32)[order],
     }
@@ -319,13 +321,14 @@ class Words:
         self.start, self.end, self.hash, self.row, self.offs = start, end, hash_, row, offs
 
 
-def words(cp: np.ndarray, offs: np.ndarray) -> Words:
-    """Runs of letters, digits and marks in folded code points; equal words have equal hashes."""
+def words(cp: np.ndarray, offs: np.ndarray, kind: str = "word") -> Words:
+    """Runs of letters, digits and marks (kind "letter": of letters) in folded code points; equal words
+    have equal hashes."""
     n = len(offs) - 1
     if not len(cp):
         z = np.zeros(0, np.int64)
         return Words(z, z, np.zeros(0, np.uint64), z, np.zeros(n + 1, np.int64))
-    w = gather(tables()["word"], cp)
+    w = gather(tables()[kind], cp)
     first = w.copy()
     first[1:] &= ~w[:-1]
     heads = offs[:-1][np.diff(offs) > 0]

@@ -45,8 +45,6 @@ class Items:
         by = np.argsort(piece, kind="stable")
         self.piece, self.at = piece[by], at[by]
         self.word, self.which = np.unique(w.hash, return_inverse=True)
-        self.at_of_word = np.argsort(self.which, kind="stable")
-        self.first_at = np.concatenate([[0], np.cumsum(np.bincount(self.which, minlength=len(self.word)))])
 
 
 def pieces(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
