@@ -457,8 +457,17 @@ def _flags(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return signs, numbers | (digits & names(PASSPORT_WORDS)), said, digits & names(list(STREET_NAMES))
 
 
+def _summed(word: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Each word once, with the sum of its counts."""
+    key, at = np.unique(word, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, at, n)
+    return [key, total]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every text with its candidates, and the counts of words and of the places where cues name a person."""
+    words = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
     for b in batches:
         for at in range(0, b.num_rows, 4000):
             part = b.slice(at, 4000)
@@ -484,10 +493,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, cands, *(pa.nulls(part.num_rows, f.type) for f in list(_READ)[4:])], schema=_READ)
             if len(t.w.hash):
                 word, n = np.unique(t.w.hash, return_counts=True)
-                yield _rows(len(word), {"hash": word.view(np.int64), "n": n})
+                words = [np.concatenate([words[0], word]), np.concatenate([words[1], n])]
+                if len(words[0]) > 1 << 20:
+                    words = _summed(*words)
+                if len(words[0]) > 1 << 19:
+                    yield _rows(len(words[0]), {"hash": words[0].view(np.int64), "n": words[1]})
+                    words = [words[0][:0], words[1][:0]]
                 places = _counted(t, *cue_places(t))
                 if len(places["hash"]):
                     yield _rows(len(places["hash"]), places)
+    word, n = _summed(*words)
+    yield _rows(len(word), {"hash": word.view(np.int64), "n": n})
 
 
 def _disclosed(counts: DataFrame, places: DataFrame) -> DataFrame:
@@ -570,8 +586,9 @@ def term_disclosure(read: DataFrame) -> Disclosure:
     return Disclosure(got.column("at").to_numpy(), got.column("n").to_numpy(), got.column("certain").to_numpy())
 
 
-def personal_data(rows: DataFrame, ord_: str, fields: list[str]) -> DataFrame:
-    """(ord, field_name, text, masked, items array<struct<kind, nth, item>>) for every row and field."""
+def personal_data(rows: DataFrame, ord_: str, fields: list[str], texts_too: bool = True) -> DataFrame:
+    """(ord, field_name, text, masked, items array<struct<kind, nth, item>>) for every row and field; without
+    `texts_too` the texts and masked texts are left out."""
     parts = [rows.select(F.col(ord_).cast("bigint").alias("ord"), F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields]
     texts = parts[0]
     for p in parts[1:]:
@@ -585,17 +602,18 @@ def personal_data(rows: DataFrame, ord_: str, fields: list[str]) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4000):
-                yield _masked(b.slice(at, 4000), held.value, first, second)
+                yield _masked(b.slice(at, 4000), held.value, first, second, texts_too)
 
     read = read.filter("field_name IS NOT NULL").select("ord", "field_name", "text", "cands")
     read = surnames.of_texts(given.of_texts(read, "given"), "surnames")
-    return read.mapInArrow(scan, f"ord bigint, field_name string, text string, masked string, items {kinds}")
+    shown = "text string, masked string, " if texts_too else ""
+    return read.mapInArrow(scan, f"ord bigint, field_name string, {shown}items {kinds}")
 
 
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("nth", pa.int64()), ("item", pa.string())]))
 
 
-def _masked(b: pa.RecordBatch, told: Disclosure, first, second) -> pa.RecordBatch:
+def _masked(b: pa.RecordBatch, told: Disclosure, first, second, texts_too: bool) -> pa.RecordBatch:
     """The texts of a batch with their items; only texts with a candidate or a given name are looked into."""
     texts = b.column(2)
     t = Tokens(texts)
@@ -618,5 +636,8 @@ def _masked(b: pa.RecordBatch, told: Disclosure, first, second) -> pa.RecordBatc
         for a, e, kind in found:
             seen[kind] += 1
             items[i].append({"kind": kind, "nth": seen[kind], "item": canon[a:e]})
-        masked[i] = mask(text, found, at)
+        if texts_too:
+            masked[i] = mask(text, found, at)
+    if not texts_too:
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(items, _KIND)], ["ord", "field_name", "items"])
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts, pa.array(masked, pa.string()), pa.array(items, _KIND)], ["ord", "field_name", "text", "masked", "items"])

@@ -168,7 +168,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every item of personal data in gold tweets: its row, field, kind and number within the field."""
     from triagelake.llm.personal_data import personal_data
 
-    out = personal_data(table(spark, folder, GOLD), "src_ord", ["tweet", "tweet_clean"])
+    out = personal_data(table(spark, folder, GOLD), "src_ord", ["tweet", "tweet_clean"], texts_too=False)
     return out.select(F.col("ord").alias("src_ord"), "field_name", F.explode("items").alias("i")).select("src_ord", "field_name", "i.kind", "i.nth")
 
 
