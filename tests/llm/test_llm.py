@@ -308,26 +308,44 @@ def plain_distance(a, b):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abcx", min_size=1, max_size=9), min_size=1, max_size=6, unique=True), st.text(alphabet="abcdx", min_size=1, max_size=9))
-def test_bit_parallel_distance(vocab, token):
-    names = place_names.Names([(i, w, "", "") for i, w in enumerate(vocab)])
-    got = place_names.distances([token], names, names.masks())[0]
-    assert got.tolist() == [plain_distance(token, w) for w in names.vocab]
+@given(st.lists(st.text(alphabet="abcx", min_size=0, max_size=9), min_size=1, max_size=6), st.text(alphabet="abcdx", min_size=1, max_size=9))
+def test_distance_of_pairs(vocab, token):
+    assert place_names.distances([token] * len(vocab), vocab).tolist() == [plain_distance(token, w) for w in vocab]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcd", min_size=4, max_size=14), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 13), st.sampled_from("abcdx")), max_size=3))
+def test_deletion_keys_lose_no_pair(token, edits):
+    name = list(token)
+    for kind, at, letter in edits:
+        at %= len(name) or 1
+        if kind == 0 and len(name) > 1:
+            del name[at]
+        elif kind == 1:
+            name.insert(at, letter)
+        elif kind == 2 and name:
+            name[at] = letter
+        elif at + 1 < len(name):
+            name[at], name[at + 1] = name[at + 1], name[at]
+    name = "".join(name)
+    if name and plain_distance(token, name) <= place_names.budget(len(token)) + 1:
+        row, key = place_names.deletion_keys([token, name])
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
 def test_place_matches(spark):
-    listed = [(1, "Yeşilbahçe", "Kartalova", "Turnadere"), (2, "Barış", "Kartalova", "Turnadere"), (3, "Barış", "Pelitkuyu", "Turnadere"), (4, "Sazlıyurt", "Pelitkuyu", "Turnadere")]
+    listed = [(1, "Yeşilbahçe", "Kartalova", "Turnadere"), (2, "Barış", "Kartalova", "Turnadere"), (3, "Barış", "Pelitkuyu", "Turnadere"), (4, "Sazlıyurt", "Pelitkuyu", "Turnadere"), (6, "Uzun" + "ova" * 30, "Pelitkuyu", "Turnadere")]
     gaz = frame(spark, listed, "gaz_id bigint, n string, d string, p string")
     rows = [
         (1, "Yeşilbahçe", "Kartalova", "Turnadere"), (2, "yesil bahce mah.", None, None), (3, "Yeşlbahçe", "", ""), (4, "Barış", None, "Turnadere"), (5, "Barış", "Pelitkyu", None),
         (6, "Turnadere/Pelitkuyu/Barış", None, None), (7, "Fjordgate", "Pelitkuyu", "yurtdışı"), (8, None, "Pelitkuyu", None), (9, "  ", "Pelitkuyu", None), (10, "SAZLIYURT", "Turnadere", "Pelitkuyu"),
-        (11, "Baış", "Kartalova", "Turn."), (12, "bilinmiyor", "Pelitkuyu", "Turnadere"), (13, "Sazlıyurt (Pelitkuyu, Turnadere) " + "x" * 5000, None, None), (3, "Yeşlbahçe", "", ""),
+        (11, "Baış", "Kartalova", "Turn."), (12, "bilinmiyor", "Pelitkuyu", "Turnadere"), (13, "Sazlıyurt (Pelitkuyu, Turnadere) " + "x" * 5000, None, None), (3, "Yeşlbahçe", "", ""), (14, "uzun" + "ova" * 28 + "ovova", "Pelitkuyu", None),
     ]
     df = frame(spark, rows, "src_ord bigint, neighborhood string, district string, province string").withColumn("gaz_id", F.lit(5))
     got = sorted((r.ord, r.gaz_id) for r in place_names.place_matches(df, "src_ord", ["neighborhood", "district", "province"], gaz, "gaz_id", ["n", "d", "p"]).collect())
-    assert got == [(2, 1), (3, 1), (3, 1), (4, 0), (5, 3), (6, 3), (7, 0), (10, 4), (11, 2), (12, 0), (13, 4)]
+    assert got == [(2, 1), (3, 1), (3, 1), (4, 0), (5, 3), (6, 3), (7, 0), (10, 4), (11, 2), (12, 0), (13, 4), (14, 6)]
     none = place_names.place_matches(df, "src_ord", ["neighborhood", "district", "province"], gaz.limit(0), "gaz_id", ["n", "d", "p"]).collect()
-    assert {r.gaz_id for r in none} == {0} and len(none) == 12
+    assert {r.gaz_id for r in none} == {0} and len(none) == 13
     assert place_names.place_matches(df.limit(0), "src_ord", ["neighborhood", "district", "province"], gaz, "gaz_id", ["n", "d", "p"]).collect() == []
 
 
