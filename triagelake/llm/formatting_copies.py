@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,8 @@ from triagelake.store import stage
 LABELS = ("il", "ilçe", "mahalle", "adres", "durum", "ihtiyaç", "kişi", "saat")
 MIN_LABELS = 4  # a text is labelled if it starts with a label and holds this many different ones
 BUCKET_ROWS = 20_000
-MAX_SPLIT = 2048  # at most this many buckets are split, so the list of split prefixes is bounded
+MAX_SPLIT = 2048  # so many split prefixes of a depth are broadcast, more are joined
+CHUNK_ROWS = 200_000  # rows whose copies are combined at once before they are shuffled
 
 
 def _label_hashes(labels: tuple[str, ...]) -> np.ndarray:
@@ -132,27 +132,43 @@ def _forms(labels: tuple[str, ...]):
     return run
 
 
-def split_prefixes(forms: DataFrame, rows: int) -> list[set[bytes]]:
-    """Prefixes of buckets that are too large, by depth 2, 4, 8, ...: the radix partitioning.
+def bucketed(forms: DataFrame) -> DataFrame:
+    """forms with their bucket: the radix partitioning, by depth 2, 4, 8, ...
 
-    A round counts the texts of the buckets still open by their next bytes. A bucket is too large
-    beyond BUCKET_ROWS texts, or a MAX_SPLIT-th of all texts where that is more, so that at most
-    MAX_SPLIT prefixes a depth come to the driver.
+    A round counts the texts of the buckets still open by their next bytes; buckets of more than
+    BUCKET_ROWS texts are open, and their prefixes stay a table that the texts are joined with.
     """
-    fits = max(BUCKET_ROWS, rows // MAX_SPLIT)
-    spark = forms.sparkSession
-    levels: list[set[bytes]] = []
+    out = forms.withColumn("bucket", F.substring("form", 1, 2)).withColumn("_open", F.lit(True))
     depth = 2
-    open_ = forms.select("form")
     while True:
-        longer = open_.filter(F.length("form") > depth)
-        big = longer.groupBy(F.substring("form", 1, depth).alias("p")).count().filter(F.col("count") > fits).select("p").toArrow().column(0).to_pylist()
-        if not big:
-            return levels
-        levels.append({bytes(x) for x in big})
-        small = spark.createDataFrame([(bytearray(x),) for x in big], "p binary")
-        open_ = forms.select("form").join(F.broadcast(small), F.substring("form", 1, depth) == F.col("p"), "left_semi")
+        prefix = F.substring("form", 1, depth)
+        big = out.filter(F.col("_open") & (F.length("form") > depth)).groupBy(prefix.alias("_p")).agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS)
+        big = stage(big.select("_p", F.lit(True).alias("_split")), "prefixes")
+        n = big.count()
+        if not n:
+            return out.drop("_open")
+        out = out.join(F.broadcast(big) if n <= MAX_SPLIT else big, prefix == F.col("_p"), "left")
+        out = out.withColumn("_open", F.col("_open") & F.coalesce("_split", F.lit(False))).drop("_p", "_split")
         depth *= 2
+        out = out.withColumn("bucket", F.when(F.col("_open"), F.substring("form", 1, depth)).otherwise(F.col("bucket")))
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one digest as one row, CHUNK_ROWS at a time: a hot record sends a row a chunk."""
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            tab = pa.Table.from_batches(held).combine_chunks()
+            got = tab.group_by(["d1", "d2"], use_threads=False).aggregate([("bucket", "first"), ("form", "first"), ("kinds", "first"), ("least", "min"), ("n", "sum")])
+            yield from got.select(["bucket_first", "d1", "d2", "form_first", "kinds_first", "least_min", "n_sum"]).rename_columns(["bucket", "d1", "d2", "form", "kinds", "least", "n"]).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CHUNK_ROWS:
+            yield from flush(held)
+            held = []
+    yield from flush(held)
 
 
 class Trie:
@@ -211,24 +227,28 @@ def records(end: dict[bytes, list]) -> Iterator[tuple[int, int, list]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tries: dict[bytes, Trie] = {}
-    for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(7)]
-        for bucket, d1, d2, form, kinds, least, n in zip(*cols):
-            trie = tries.get(bucket)
-            if trie is None:
-                trie = tries[bucket] = Trie()
-            trie.add(form, kinds, least, n, (d1, d2))
+    """Records of two or more copies. Rows come in the order of their buckets: one trie is held at a time."""
+    trie, of = Trie(), None
     out: list[list[int]] = [[], [], [], []]
-    for trie in tries.values():
+
+    def close() -> None:
         for end in trie.ends:
             for least, n, digests in records(end):
                 if n > 1:
                     for d1, d2 in digests:
-                        out[0].append(d1)
-                        out[1].append(d2)
-                        out[2].append(least)
-                        out[3].append(n)
+                        for col, x in zip(out, (d1, d2, least, n)):
+                            col.append(x)
+
+    for b in batches:
+        cols = [b.column(i).to_pylist() for i in range(7)]
+        for bucket, d1, d2, form, kinds, least, n in zip(*cols):
+            if bucket != of:
+                close()
+                trie, of = Trie(), bucket
+            trie.add(form, kinds, least, n, (d1, d2))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["d1", "d2", "keep_ord", "copies"])
+        out = [[], [], [], []]
+    close()
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["d1", "d2", "keep_ord", "copies"])
 
 
@@ -238,24 +258,10 @@ def formatting_copies(rows: DataFrame, ord_: str, text: str, labels: tuple[str,
     forms = stage(picked.mapInArrow(_forms(labels), FORMS), "forms")
     total = forms.count()
     variants = forms.filter(F.col("form").isNotNull())
-    levels = split_prefixes(variants, total)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [pa.array(sorted(x), pa.binary()) for x in levels]
-        for b in batches:
-            form = b.column(2)
-            depth = 2
-            bucket = pc.binary_slice(form, 0, depth)
-            open_ = pa.array(np.ones(b.num_rows, bool))
-            for split in known:
-                open_ = pc.and_(open_, pc.is_in(pc.binary_slice(form, 0, depth), value_set=split))
-                depth *= 2
-                bucket = pc.if_else(open_, pc.binary_slice(form, 0, depth), bucket)
-            yield pa.RecordBatch.from_arrays([bucket, *b.columns], ["bucket", *b.schema.names])
-
-    kept = variants.select("d1", "d2", "form", "kinds", "least", "n")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = kept.mapInArrow(assign, "bucket binary, d1 bigint, d2 bigint, form binary, kinds binary, least bigint, n bigint")
-    counted = placed.repartition(parts, "bucket").mapInArrow(_count, "d1 bigint, d2 bigint, keep_ord bigint, copies bigint")
+    shape = "bucket binary, d1 bigint, d2 bigint, form binary, kinds binary, least bigint, n bigint"
+    placed = bucketed(variants).select(*(c.split()[0] for c in shape.split(", "))).mapInArrow(_combined, shape)
+    tries = placed.repartition(max(parts, -(-total // 500_000)), "bucket").sortWithinPartitions("bucket")
+    counted = tries.mapInArrow(_count, "d1 bigint, d2 bigint, keep_ord bigint, copies bigint")
     found = stage(counted, "records")
     return attach(forms.select("ord", "d1", "d2"), found, ["d1", "d2"], "copies", total).select("ord", "keep_ord", "copies")
