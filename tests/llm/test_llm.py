@@ -183,6 +183,41 @@ def test_long_records_are_cut_by_content(spark):
     assert [(x.train_ord, x.eval_ord) for x in got] == [(1, 2)] and 0.6 < got[0].part_eval < 1
 
 
+def test_class_rows_agree_with_pairs(spark, monkeypatch):
+    from triagelake.llm import wordsets
+
+    texts = [f"bir iki üç dört beş altı yedi sekiz {w}" for w in ("dokuz", "on")] + ["başka bir söz"]
+    rows = [(i, texts[i % 3] if i % 7 else texts[0].replace("i", "\u0456"), ["train", "val", "test"][i % 5 % 3], f"id{i % 40}") for i in range(120)] + [(200, None, "train", "x"), (201, "", "val", "x")]
+    df = frame(spark, rows, "src_ord bigint, t string, split string, id string")
+    pairs = lambda: sorted((r.train_ord, r.eval_ord, r.similarity, r.same_id) for r in cross_split.split_overlaps(df, "src_ord", "t", "split", "id").collect())
+    looks = lambda: sorted((r.ord_a, r.ord_b) for r in look_alikes.same_looking_pairs(df, "src_ord", "t").collect())
+    plain, same = pairs(), looks()
+    links = {}
+    for a, b, sim, _ in plain:
+        if sim is not None:
+            links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    assert {r.ord: r.links for r in cross_split.overlap_rows(df, "src_ord", "t", "split", "id").collect()} == links
+    shown = {}
+    for a, b in same:
+        shown[a], shown[b] = shown.get(a, 0) + 1, shown.get(b, 0) + 1
+    assert {r.ord: r.links for r in look_alikes.same_looking_classes(df, "src_ord", "t").collect()} == shown and shown
+    monkeypatch.setattr(cross_split, "HOT_ROWS", 1)
+    monkeypatch.setattr(look_alikes, "HOT_ROWS", 1)
+    monkeypatch.setattr(wordsets, "SALT", 3)
+    assert pairs() == plain and looks() == same
+
+
+def test_buckets_of_any_size_give_the_same_records(spark, monkeypatch):
+    rows = [(i, ("Adres: " if i % 4 else "adres ") + "uzun metin " * (i % 5) + f"son {i % 30}") for i in range(300)]
+    df = frame(spark, rows, "src_ord bigint, t string")
+    run = lambda: sorted(tuple(r) for r in formatting_copies.formatting_copies(df, "src_ord", "t").collect())
+    plain = run()
+    monkeypatch.setattr(formatting_copies, "BUCKET_ROWS", 2)
+    assert run() == plain and len(plain) == 300
+    monkeypatch.setattr(formatting_copies, "MAX_SPLIT", 0)
+    assert run() == plain
+
+
 # p1 ---------------------------------------------------------------------------------------------
 
 

@@ -21,6 +21,7 @@ from triagelake.store import stage
 
 CUT = 8  # a chunk ends before a word unless the word's hash is divisible by this
 SHORT = 24  # records of fewer words are cut at every word, too
+HOT_ROWS = 1000  # the pairs of larger classes and ids are dealt to several tasks
 ALL_WORDS = 16  # and of fewer than this, at every word only
 
 
@@ -65,9 +66,11 @@ def chunk_sketch(sets: DataFrame) -> np.ndarray:
 def chunk_postings(sets: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
     """One row per record, side and rare chunk that another record may share.
 
-    Of n words at most (1-t)n can be missing in a partner of similarity t; each breaks the chunk it is
-    in, and the one before it where it had followers; words the partner has more break a chunk only
-    where they are no cut. So many chunks and one more are posted, the rarest first.
+    A partner of similarity t that lacks m of n words and has a more satisfies n - m >= t(n + a). A missing
+    word breaks the chunk it is in, and the one before it where it had followers, which chunks of one
+    word have not; a word more breaks one chunk at most. m + a is largest where nothing is missing, at
+    n(1-t)/t, so that many chunks, those of several words and one more are posted, the rarest first: no
+    pair is lost.
     """
     held = sets.sparkSession.sparkContext.broadcast(sketch)
     mask = np.uint32((1 << W.SKETCH_BITS) - 1)
@@ -90,7 +93,8 @@ def chunk_postings(sets: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
             place = np.arange(len(r)) - (np.cumsum(size) - size)[group]
             multi = np.bincount(group, weights=length > 1, minlength=2 * len(n)).astype(np.int64)
             words = n - np.ceil(t * n - W.EPS).astype(np.int64) + 1
-            depth = np.where(kind == 1, words[r], words[r] + multi[group] + n[r] // 16 + 1)
+            most = np.floor(n * (1 - t) / t + W.EPS).astype(np.int64)
+            depth = np.where(kind == 1, words[r], most[r] + multi[group] + 1)
             take = (place < depth) & (df > 1)
             r, low, df = r[take], low[take], df[take]
             at, part, grp = W.split_blocks(low, ord_[r], df)
@@ -98,7 +102,7 @@ def chunk_postings(sets: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
             for side in (0, 1):
                 k = sides[side][r[at]].astype(bool)
                 x, rr = at[k], r[at][k]
-                cols = [low[x].view(np.int32), part[k].astype(np.int32), ord_[rr], n[rr].astype(np.int32), cap[rr], np.full(len(x), side, np.int32), grp[x].astype(np.int32)]
+                cols = [low[x].view(np.int32), part[k], ord_[rr], n[rr].astype(np.int32), cap[rr], np.full(len(x), side, np.int32), grp[x].astype(np.int32)]
                 cols += [sig[rr, i].view(np.int64) for i in range(W.SIG_WORDS)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in W.POSTING.split(", ")])
 
@@ -139,35 +143,62 @@ def overlap_fractions(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint, similarity double, part_a double, part_b double")
 
 
+def linked_classes(base: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """(classes, links) of rows (ord, text, side): classes has (ord, side, rep, trains, evals), one row per row
+    with words, where rep is the least ord of its word set and trains and evals count the rows of each side;
+    links has (a, b, similarity, part_a, part_b), train class and eval class. Both are staged."""
+    sets = stage(W.word_sets(base, "ord", "text", "side"), "sets")
+    reps = sets.groupBy("d1", "d2").agg(F.min("ord").alias("rep"), F.count("*").alias("copies"), F.count_if(F.col("side") == 0).alias("trains"), F.count_if(F.col("side") == 1).alias("evals"))
+    joined = W.attach(sets, reps, ["d1", "d2"], "copies", sets.count())
+    joined = joined.withColumns({"in_train": F.col("trains") > 0, "in_eval": F.col("evals") > 0})
+    classes = stage(joined.withColumn("toks", F.when(F.col("ord") == F.col("rep"), F.col("toks"))).drop("d1", "d2"), "classes")
+    lead = classes.filter("ord = rep")
+    pairs = W.candidates(chunk_postings(lead, chunk_sketch(lead), t), t, W.task_count(lead, t, 2.0), sided=True)
+    near = overlap_fractions(pairs, lead, t)
+    own = lead.filter("in_train AND in_eval").select(F.col("rep").alias("a"), F.col("rep").alias("b"), *(F.lit(1.0).alias(c) for c in ("similarity", "part_a", "part_b")))
+    return classes.select("ord", "side", "rep", "trains", "evals"), stage(near.unionByName(own), "links")
+
+
+def _sides(rows: DataFrame, ord_: str, text: str, split: str, id_: str) -> DataFrame:
+    side = F.when(F.col(split) == "train", 0).when(F.col(split).isin("val", "test"), 1)
+    return rows.select(F.col(ord_).alias("ord"), F.col(text).alias("text"), F.col(id_).alias("id"), side.alias("side")).filter("side IS NOT NULL")
+
+
+def overlap_rows(rows: DataFrame, ord_: str, text: str, split: str, id_: str, t: float = 0.7) -> DataFrame:
+    """(ord, class_ord, links): one row per row whose text is found again on the other side, with its class
+    (the least ord with the same words) and the number of rows of the other side it overlaps with. Same as
+    the pairs of split_overlaps by text, without expanding them; the id plays no part."""
+    classes, links = linked_classes(_sides(rows, ord_, text, split, id_), t)
+    sizes = classes.filter("ord = rep").select("rep", "trains", "evals")
+    of_train = links.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("evals").alias("links")).withColumn("side", F.lit(0))
+    of_eval = links.join(sizes.withColumnRenamed("rep", "a"), "a").groupBy(F.col("b").alias("rep")).agg(F.sum("trains").alias("links")).withColumn("side", F.lit(1))
+    found = of_train.unionByName(of_eval).join(sizes, "rep").withColumn("copies", F.when(F.col("side") == 0, F.col("trains")).otherwise(F.col("evals")))
+    out = W.attach(classes.select("ord", "rep", "side"), stage(found.select("rep", "side", "links", "copies"), "row-links"), ["rep", "side"], "copies", classes.count())
+    return out.select("ord", F.col("rep").alias("class_ord"), "links")
+
+
 def split_overlaps(rows: DataFrame, ord_: str, text: str, split: str, id_: str, t: float = 0.7) -> DataFrame:
     """(train_ord, eval_ord, similarity, part_train, part_eval, same_id) of every overlapping pair of rows.
 
     A pair is a row of split `train` and one of `val` or `test` with the same non-null id, or with at
     least t of their distinct words in common. Similarity is null where only the id is the same. Rows
     without words match by id only; rows of no or another split are in no pair; repeated rows count as
-    rows. An empty table gives no rows.
+    rows. An empty table gives no rows. Rows of a class or id of very many are dealt to many tasks.
     """
-    side = F.when(F.col(split) == "train", 0).when(F.col(split).isin("val", "test"), 1)
-    base = rows.select(F.col(ord_).alias("ord"), F.col(text).alias("text"), F.col(id_).alias("id"), side.alias("side")).filter("side IS NOT NULL")
-    sets = stage(W.word_sets(base, "ord", "text", "side"), "sets")
-    reps = sets.groupBy("d1", "d2").agg(
-        F.min("ord").alias("rep"), F.count("*").alias("copies"), F.max(F.col("side") == 0).alias("in_train"), F.max(F.col("side") == 1).alias("in_eval")
-    )
-    joined = W.attach(sets, reps, ["d1", "d2"], "copies", sets.count())
-    classes = stage(joined.withColumn("toks", F.when(F.col("ord") == F.col("rep"), F.col("toks"))).drop("d1", "d2"), "classes")
-    lead = classes.filter("ord = rep")
-    pairs = W.candidates(chunk_postings(lead, chunk_sketch(lead), t), t, sided=True)
-    near = overlap_fractions(pairs, lead, t)
-    own = lead.filter("in_train AND in_eval").select(F.col("rep").alias("a"), F.col("rep").alias("b"), *(F.lit(1.0).alias(c) for c in ("similarity", "part_a", "part_b")))
-    linked = stage(near.unionByName(own), "links")
-    train = classes.filter("side = 0").select(F.col("rep").alias("a"), F.col("ord").alias("train_ord"))
-    held = classes.filter("side = 1").select(F.col("rep").alias("b"), F.col("ord").alias("eval_ord"))
-    by_text = linked.join(train, "a").join(held, "b").select("train_ord", "eval_ord", "similarity", F.col("part_a").alias("part_train"), F.col("part_b").alias("part_eval"))
+    base = _sides(rows, ord_, text, split, id_)
+    classes, linked = linked_classes(base, t)
+    sizes = classes.filter("ord = rep").select("rep", "trains", "evals")
+    linked = linked.join(sizes.select(F.col("rep").alias("a"), "trains"), "a").join(sizes.select(F.col("rep").alias("b"), "evals"), "b")
+    train = classes.filter("side = 0").select(F.col("rep").alias("a"), F.col("ord").alias("train_ord"), "trains")
+    held = classes.filter("side = 1").select(F.col("rep").alias("b"), F.col("ord").alias("eval_ord"), "evals")
+    by_text = W.salted(held, W.salted(train, linked, "a", "trains", HOT_ROWS), "b", "evals", HOT_ROWS)
+    by_text = by_text.select("train_ord", "eval_ord", "similarity", F.col("part_a").alias("part_train"), F.col("part_b").alias("part_eval"))
     ids = base.filter("id IS NOT NULL").select("ord", "id", "side")
-    by_id = (
-        ids.filter("side = 0").select("id", F.col("ord").alias("train_ord"))
-        .join(ids.filter("side = 1").select("id", F.col("ord").alias("eval_ord")), "id")
-        .select("train_ord", "eval_ord", F.lit(True).alias("same_id"))
-    )
+    both = ids.groupBy("id").agg(F.count_if(F.col("side") == 0).alias("trains"), F.count_if(F.col("side") == 1).alias("evals")).filter("trains > 0 AND evals > 0")
+    ids = stage(W.attach(ids, both.withColumn("copies", F.col("trains") + F.col("evals")), ["id"], "copies", base.count()), "ids")
+    by_id = W.salted(
+        ids.filter("side = 0").select("id", F.col("ord").alias("train_ord"), "copies"),
+        ids.filter("side = 1").select("id", F.col("ord").alias("eval_ord"), "copies"), "id", "copies", HOT_ROWS,
+    ).select("train_ord", "eval_ord", F.lit(True).alias("same_id"))
     out = by_text.join(by_id, ["train_ord", "eval_ord"], "full_outer")
     return out.withColumn("same_id", F.coalesce("same_id", F.lit(False)))

@@ -22,7 +22,7 @@ def near_duplicate_groups(rows: DataFrame, ord_: str, text: str, t: float = 0.7)
     classes, total = W.set_classes(sets)
     reps = classes.filter("ord = rep")
     sketch = W.frequency_sketch(reps)
-    pairs = W.candidates(W.word_postings(reps, sketch, t), t)
+    pairs = W.candidates(W.word_postings(reps, sketch, t), t, W.task_count(reps, t))
     links = W.verified(pairs, reps, t)
     roots = W.components(links)
     keyed = reps.select("rep", "copies").join(roots.withColumnRenamed("v", "rep"), "rep", "left")

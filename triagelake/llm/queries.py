@@ -80,6 +80,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.least("train_ord", "eval_ord").alias("ord_a"), F.greatest("train_ord", "eval_ord").alias("ord_b"))
 
 
+@query("p3_rows")
+def p3_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows whose text is found again across the splits: their class and their number of links."""
+    from triagelake.llm.cross_split import overlap_rows
+
+    return overlap_rows(table(spark, folder, GOLD), "src_ord", "tweet_clean", "split_name", "id").withColumnRenamed("ord", "src_ord")
+
+
 @query("p3_overlap_report")
 def p3_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per split and source of the evaluation row."""
@@ -105,6 +113,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_looking_pairs(table(spark, folder, GOLD), "src_ord", "tweet")
 
 
+@query("p4_classes")
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows of classes that look the same but are written in several ways, with their links."""
+    from triagelake.llm.look_alikes import same_looking_classes
+
+    return same_looking_classes(table(spark, folder, GOLD), "src_ord", "tweet").withColumnRenamed("ord", "src_ord")
+
+
 @query("p4_consistent")
 def p4_consistent(spark: SparkSession, folder: str) -> DataFrame:
     """Every gold tweet in its consistent form."""

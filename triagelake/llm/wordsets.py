@@ -27,6 +27,7 @@ from triagelake.store import stage
 SKETCH_BITS = 20  # the frequency sketch has 2^20 counters: 4 MB, whatever the input
 SIG_WORDS = 4  # 256-bit signatures
 LEAF = 8  # children of a node of the signature tree
+PART_ROWS = 400_000  # postings of one task
 BLOCK_ROWS = 20_000  # blocks of words that more texts hold are split into pairs of groups
 EPS = 1e-9
 
@@ -93,6 +94,18 @@ def attach(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total:
     return done.unionByName(rest.join(cold, keys))
 
 
+SALT = 64  # tasks that share the pairs of a hot class
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, size: str, cut: int) -> DataFrame:
+    """left joined with right on key, where both have `size`, how many rows of left hold the key: the rows
+    of a key of more than `cut` are dealt to SALT tasks, and the other side goes to each of them."""
+    hot = F.col(size) > cut
+    a = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.lit(SALT))).otherwise(0)).drop(size)
+    b = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint"))))).drop(size)
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
     """Counts of words by the low bits of their hash, summed over all rows; its size is fixed."""
 
@@ -135,7 +148,8 @@ def flat_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), tok, n
 
 
-POSTING = "tok int, part int, ord bigint, n int, cap int, side int, grp int, " + ", ".join(f"s{i} bigint" for i in range(SIG_WORDS))
+PART = 1 << 31  # a part number is low * PART + high
+POSTING = "tok int, part bigint, ord bigint, n int, cap int, side int, grp int, " + ", ".join(f"s{i} bigint" for i in range(SIG_WORDS))
 
 
 def split_blocks(tok: np.ndarray, ord_: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +164,7 @@ def split_blocks(tok: np.ndarray, ord_: np.ndarray, df: np.ndarray) -> tuple[np.
     at = np.repeat(np.arange(len(tok)), g)
     other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
     low, high = np.minimum(grp[at], other), np.maximum(grp[at], other)
-    return at, low * 65536 + high, grp
+    return at, low * PART + high, grp
 
 
 def word_postings(sets: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
@@ -176,7 +190,7 @@ def word_postings(sets: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
             cap = np.floor((n[row] - place) * (1 + t) / t + EPS).astype(np.int64) - n[row]
             at, part, grp = split_blocks(tok, ord_[row], df)
             r = row[at]
-            cols = [tok[at].view(np.int32), part.astype(np.int32), ord_[r], n[r].astype(np.int32), cap[at].astype(np.int32), np.zeros(len(at), np.int32), grp[at].astype(np.int32)]
+            cols = [tok[at].view(np.int32), part, ord_[r], n[r].astype(np.int32), cap[at].astype(np.int32), np.zeros(len(at), np.int32), grp[at].astype(np.int32)]
             cols += [sig[r, i].view(np.int64) for i in range(SIG_WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in POSTING.split(", ")])
 
@@ -266,7 +280,7 @@ def block_pairs(t: float, sided: bool):
         tab = pa.Table.from_batches(got)
         c = {k: tab.column(k).to_numpy() for k in tab.schema.names}
         sig = np.stack([c[f"s{i}"] for i in range(SIG_WORDS)], axis=1).view(np.uint64)
-        block = C.mix(c["tok"].astype(np.int64).view(np.uint64) << np.uint64(32) | c["part"].astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))
+        block = C.mix(C.mix(c["part"].view(np.uint64)) + c["tok"].astype(np.int64).view(np.uint64))
         by = np.lexsort((c["n"], c["cap"] // 4, c["side"], block))
         ids = np.unique(block, return_inverse=True)[1][by]
         side = c["side"][by]
@@ -293,7 +307,7 @@ def block_pairs(t: float, sided: bool):
             a = np.repeat(tops[lo : lo + 4096], k)
             b = np.repeat(first[lo : lo + 4096], k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
             for x, y in forest.pairs(a, b, t, 3, not sided):
-                wide = part[x] // 65536 != part[x] % 65536
+                wide = part[x] // PART != part[x] % PART
                 ok = ~wide | (grp[x] != grp[y])
                 x, y = ord_[x[ok]], ord_[y[ok]]
                 ok = x != y
@@ -318,10 +332,16 @@ def _pairs(x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
 
 
-def candidates(postings: DataFrame, t: float, sided: bool = False) -> DataFrame:
-    """Distinct candidate pairs (a, b) of all blocks."""
-    spark = postings.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def task_count(sets: DataFrame, t: float, features: float = 1.0) -> int:
+    """Tasks for the postings of all prefixes, so that each holds about PART_ROWS of them: what a task
+    gathers does not grow with the input."""
+    n = F.size("toks")
+    rows = sets.agg(F.sum(n - F.ceil(n * t) + 1)).first()[0] or 0
+    return max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows * features) // PART_ROWS))
+
+
+def candidates(postings: DataFrame, t: float, parts: int, sided: bool = False) -> DataFrame:
+    """Distinct candidate pairs (a, b) of all blocks, searched by so many tasks."""
     pairs = postings.repartition(parts, "tok", "part").mapInArrow(block_pairs(t, sided), "a bigint, b bigint")
     return pairs.distinct()
 
