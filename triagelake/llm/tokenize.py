@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.wordsets import attach
 from triagelake.store import stage
 
 TOKENIZERS = "/opt/tokenizers"
@@ -82,10 +83,11 @@ def corpus_ids(documents: DataFrame, doc_id: str, text: str, name: str = "byte_b
         t = _encoder(folder, name)
         for b in batches:
             got = [x.ids for x in t.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], ["word", "blocks", "ids"])
 
-    coded = held.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
-    table = held.join(coded, "word").select("block", "word", "ids")
+    coded = held.groupBy("word").agg(F.count("*").alias("blocks")).mapInArrow(encode, "word string, blocks bigint, ids array<int>")
+    # a common word is in every block: such words are few and are broadcast
+    table = attach(held, stage(coded, "coded"), ["word"], "blocks", held.count()).select("block", "word", "ids")
 
     def place(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
         split = _splitter()
