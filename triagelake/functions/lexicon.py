@@ -44,3 +44,15 @@ PROBES = (
     ("rubble", "Enkaz altında ses geliyor, vinç lazım", ("arama_kurtarma",)), ("water", "İçme suyu ve ekmek bitti", ("gida_su",)),
     ("road", "Köprü tek yön, elektrik yok", ("altyapi",)), ("theft", "Yağma var, silah sesi duyuldu", ("guvenlik",)),
 )
+# overrides of candidates: label -> veto patterns with their names, and patterns that confirm
+OVERRIDES = {
+    "guvenlik": {"veto": (("guvenlik_unconfirmed", "teyitsiz|söylenti"), ("guvenlik_hashtag", "#(yağma|güvenlik)")), "strong": ("yağma|hırsız", "silah", "kavga")},
+    "psikolojik": {"veto": (("psikolojik_profession", "spor psikolo"), ("psikolojik_game", "oyun")), "strong": ("ağlıyor", "kork", "psikolojik|psikososyal")},
+    "bilgi_paylasimi": {"veto": (("bilgi_urgent", "acil|imdat"),), "strong": ("duyuru", "teyitli bilgi", "liste.*(açık|saat)|(açık|saat).*liste")},
+}
+SEVERITY_FLOOR = {"arama_kurtarma": 3, "saglik": 3, "guvenlik": 2, "barinma": 1, "gida_su": 1, "altyapi": 1, "lojistik": 1, "psikolojik": 1}
+PROBES_10 = (
+    *PROBES, ("medical", "Yaralı var, ambulans ve doktor bekliyoruz", ("saglik",)), ("shelter", "Çadır ve battaniye yok, barınma sorunu", ("barinma",)),
+    ("transport", "Kamyon depo önünde, forklift araç gerek", ("lojistik",)), ("mind", "Çocuk korku içinde, ağlıyor ve titriyor", ("psikolojik",)),
+    ("notice", "Duyuru: bilgi liste halinde", ("bilgi_paylasimi",)), ("none", "Bugün hava güneşli", ()),
+)

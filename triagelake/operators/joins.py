@@ -11,12 +11,33 @@ from triagelake.functions import text as T
 from triagelake.operators import shingles as H
 from triagelake.store import stage
 
-SMALL_ROWS = 100_000  # a side is broadcast below this number of rows, joined by a shuffle beyond
+SMALL_BYTES = 32 << 20  # a side is broadcast up to this size by the optimizer's estimate, joined by a shuffle beyond
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most SMALL_ROWS rows; otherwise as it is."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """df with a broadcast hint if the optimizer's size estimate, made from the sizes of the files, is at most
+    SMALL_BYTES; otherwise as it is. No job is run and nothing is computed twice."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
+def attach(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with keyed (one row a key; null keys are equal), where `size` of keyed says how many rows
+    have the key.
+
+    Keys that hold over a thousandth of all rows are at most a thousand: they are broadcast, so no
+    task gets all rows of a hot key. All others are joined by a shuffle.
+    """
+    cut = max(1000, total // 1000)
+    extra = [c for c in keyed.columns if c not in keys]
+    named = keyed.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    drop = [f"_k{i}" for i in range(len(keys))]
+    hot = named.filter(F.col(size) > cut).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), on, "left").drop(*drop)
+    done = marked.filter(F.col("_hot")).drop("_hot")
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot", *extra)
+    return done.unionByName(rest.join(named.filter(F.col(size) <= cut), on).drop(*drop))
 
 
 def full_outer(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -47,6 +47,30 @@ def best_thresholds(sweep: DataFrame, alpha: float = 1.0) -> DataFrame:
     return best.select("label", "b.thr", F.round("b.score", 6).alias("score"))
 
 
+def exact_quantiles(df: DataFrame, group: str, value: str, qs: dict[str, float], low: float = 0.0, high: float = 1.0, bins: int = 1000) -> DataFrame:
+    """(group, *qs): exact quantiles with linear interpolation of a value between low and high, for groups of
+    any size; null values are left out, values outside are in the first or last bin.
+
+    One pass counts the values of each group in bins; a second one looks only at the bins that hold the
+    wanted places, and counts equal values before they are shuffled, so no task gets a group's values.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("_v") - low) / (high - low) * bins))).cast("int")
+    rows = rows.withColumn("_b", bin_)
+    hist = rows.groupBy(group, "_b").agg(F.count("*").alias("n"))
+    up = W.partitionBy(group).orderBy("_b")
+    hist = hist.select(group, "_b", F.sum("n").over(up).alias("_end"), (F.sum("n").over(up) - F.col("n")).alias("_start"), F.sum("n").over(W.partitionBy(group)).alias("_n"))
+    wanted = F.array(*(F.struct(F.lit(k).alias("q"), (F.lit(q) * (F.col("_n") - 1)).alias("at")) for k, q in qs.items()))
+    ends = F.explode(F.array(F.struct(F.floor("at").alias("i"), (1 - (F.col("at") - F.floor("at"))).alias("w")), F.struct((F.floor("at") + 1).alias("i"), (F.col("at") - F.floor("at")).alias("w"))))
+    picks = hist.select(group, "_b", "_start", "_end", F.inline(wanted)).select(group, "_b", "_start", "_end", "q", ends.alias("e"))
+    picks = picks.filter("e.w > 0 AND e.i >= _start AND e.i < _end").select(group, "_b", "_start", "q", "e.i", "e.w")  # one or two bins a quantile
+    inside = rows.join(F.broadcast(picks.select(group, "_b").distinct()), [group, "_b"], "left_semi").groupBy(group, "_b", "_v").agg(F.count("*").alias("n"))
+    order = W.partitionBy(group, "_b").orderBy("_v")
+    inside = inside.select(group, "_b", "_v", F.sum("n").over(order).alias("_to"), (F.sum("n").over(order) - F.col("n")).alias("_from"))
+    hit = picks.join(inside, [group, "_b"]).filter("i - _start >= _from AND i - _start < _to")
+    return hit.groupBy(group).agg(*(F.sum(F.when(F.col("q") == k, F.col("_v") * F.col("w"))).alias(k) for k in qs))
+
+
 def kappa(pairs: DataFrame, levels: int, quadratic: bool = False, *group: str) -> DataFrame:
     """Cohen's kappa of columns a and b (complete pairs only) with n and raw agreement; null where undefined."""
     if not group:  # one group of all

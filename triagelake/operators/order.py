@@ -25,14 +25,14 @@ def keep_least(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def mark_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with is_duplicate: whether another row has the same keys, nulls being equal.
 
-    Counts are aggregated before they are joined back, so a hot key is never gathered.
+    Counts are aggregated before they are joined back; those of hot keys are
+    broadcast, so neither the count nor the join gathers a hot key in one task.
     """
+    from triagelake.operators.joins import attach
+
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    on = [df[k].eqNullSafe(n[k]) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return df.join(n, cond, "left").select(df["*"], (F.col("_n") > 1).alias("is_duplicate"))
+    total = df.count()
+    return attach(df, n, keys, "_n", total).withColumn("is_duplicate", F.col("_n") > 1).drop("_n")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
@@ -71,3 +71,13 @@ def place_in_group(df: DataFrame, group: list[str], order: list[Column], place:
     if size:
         out = out.withColumn(size, F.col("_whole"))
     return out.drop("_range", "_local", "_r", "_off", "_whole", *(f"_g{i}" for i in range(len(group))))
+
+
+def running_sum(df: DataFrame, value: str, order: list[Column], name: str) -> DataFrame:
+    """Rows with the sum of `value` over all rows before them, by ranges: no task gets all rows. The order must be total."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_s"))  # one row a range
+    before = sums.select("_range", F.coalesce(F.sum("_s").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn(name, F.coalesce("_in", F.lit(0)) + F.col("_off")).drop("_range", "_in", "_off")

@@ -56,3 +56,21 @@ def cautious_credibility(a: Column, b: Column) -> Column:
 def raise_information(pred: Column, prob: Column, signal: Column, least: float = X.INFO_MIN_PROB) -> Column:
     """A negative is raised where the score is not small and the text signals information."""
     return F.when((pred == 0) & (prob >= F.lit(least).cast("float")) & signal, 1).otherwise(pred)
+
+
+def override_reason(text: Column, score: Column, label: str) -> Column:
+    """Why a candidate is what it is: '' for no candidate, a veto's name, 'confirmed', or '<label>_weak'."""
+    rules = X.OVERRIDES[label]
+    out = F.when(score <= 0, "")
+    for name, pattern in rules["veto"]:
+        out = out.when(text.rlike(pattern), name)
+    strong = reduce(lambda a, b: a | b, (text.rlike(p) for p in rules["strong"]))
+    return out.when(strong, "confirmed").otherwise(f"{label}_weak")
+
+
+def export_guard(df: DataFrame, required: list[str]) -> DataFrame:
+    """df, or an error that counts the rows in which a required value is null or blank: nothing incomplete is exported."""
+    blank = reduce(lambda a, b: a | b, (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "" for c in required))
+    if n := df.filter(blank).count():
+        raise ValueError(f"export blocked: {n} rows lack final values")
+    return df

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIG_WORDS = 8
+PAIR_ROWS = 1 << 13  # pairs compared at once: their number must fit 14 bits
 SKETCH_BITS = 20  # the frequency table has 2^20 counters, 8 MB whatever the input
 
 
@@ -108,9 +109,8 @@ def similar_pairs(pairs: DataFrame, t: float) -> DataFrame:
     """(a, b, similarity) of the rows (a, b, sa, sb) whose shingle sets reach Jaccard t, on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, PAIR_ROWS)):
+            b = whole.slice(at, PAIR_ROWS)
             keys, sizes = [], []
             for i in (2, 3):  # row in the upper bits, 50 bits of the hash below: one sort finds all shared ones
                 n = np.diff(np.asarray(b.column(i).offsets))

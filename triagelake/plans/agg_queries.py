@@ -221,8 +221,10 @@ def g24(spark, d):
 
 @query("g25_quantiles", f"{LONG} SELECT label, round(avg(prob::DOUBLE), 5) AS mean, round(median(prob::DOUBLE), 6) AS median, round(quantile_cont(prob::DOUBLE, 0.95), 6) AS p95, round(avg(pred), 6) AS prevalence FROM long GROUP BY label")
 def g25(spark, d):
-    p = F.col("prob").cast("double")
-    return gold_long(spark, d).groupBy("label").agg(F.round(F.avg(p), 5).alias("mean"), F.round(F.median(p), 6).alias("median"), F.round(F.percentile(p, 0.95), 6).alias("p95"), F.round(F.avg("pred"), 6).alias("prevalence"))
+    long = gold_long(spark, d)
+    means = long.groupBy("label").agg(F.round(F.avg(F.col("prob").cast("double")), 5).alias("mean"), F.round(F.avg("pred"), 6).alias("prevalence"))
+    q = M.exact_quantiles(long, "label", "prob", {"median": 0.5, "p95": 0.95})
+    return means.join(q, "label").select("label", "mean", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "prevalence")
 
 
 @query("g26_integrity", f"{LONG} SELECT (SELECT count(*) - count(DISTINCT id) FROM {GOLD}) AS repeated_ids, count(*) FILTER (prob IS NULL) AS missing, count(*) FILTER (prob < 0 OR prob > 1) AS out_of_range, count(*) FILTER ((prob >= thr) <> (pred = 1)) AS disagree, sum(pred) AS positives FROM long")
@@ -406,7 +408,8 @@ def w1_whole(spark, d):
 def w2(spark, d):
     nl = F.asc_nulls_last
     order = [F.asc("label_source"), F.desc("urgency_score"), nl("province"), nl("district"), nl("neighborhood"), nl("veracity_label"), F.asc("id"), F.asc("src_ord")]
-    return O.place_in_group(table(spark, d, GOLD), ["split_name"], order).select("src_ord", "place")
+    narrow = table(spark, d, GOLD).select("src_ord", "id", "split_name", "label_source", "urgency_score", "province", "district", "neighborhood", "veracity_label")
+    return O.place_in_group(narrow, ["split_name"], order).select("src_ord", "place")
 
 
 @query("w3_keep_first", f"SELECT id, src_ord, urgency_score FROM {EMERGENCY} QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_ord) = 1")

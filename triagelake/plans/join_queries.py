@@ -139,20 +139,18 @@ def k2(spark, d):
 @query("k3_proportional_allocation")
 def k3(spark, d):
     """Quotas of 300 rows over the provinces by largest remainder."""
-    rows = S.group_sizes(table(spark, d, SILVER), "province")
-    quota = S.proportional_allocation([r["size"] for r in rows], 300, 1)
-    return spark.createDataFrame([(r["province"], r["size"], q) for r, q in zip(rows, quota)], "province string, size bigint, quota int")
+    return S.allocated(table(spark, d, SILVER).select("province"), "province", 300, 1)
 
 
 @query("k4_sample_by_date")
 def k4(spark, d):
-    return S.proportional_sample(table(spark, d, SILVER), "date", 400, 42, "id").select("src_ord", "date")
+    return S.proportional_sample(table(spark, d, SILVER).select("src_ord", "id", "date"), "date", 400, 42, "id").select("src_ord", "date")
 
 
 @query("k5_tiered_sample")
 def k5(spark, d):
     """All of the top tier up to 150 rows, the rest from the next tier, by date."""
-    s = table(spark, d, SILVER)
+    s = table(spark, d, SILVER).select("src_ord", "id", "date", "urgency_score")
     top = S.proportional_sample(s.filter("urgency_score >= 8"), "date", 150, 42, "id").withColumn("tier", F.lit("top"))
     nxt = S.proportional_sample(s.filter("urgency_score BETWEEN 4 AND 7"), "date", 150, 42, "id").withColumn("tier", F.lit("high"))
     return top.unionByName(nxt).select("src_ord", "tier")
@@ -170,7 +168,7 @@ _SPLIT = f"SELECT src_ord, guvenlik, psikolojik, CASE WHEN size < 2 OR place <=
 
 @query("k7_three_splits", f"SELECT src_ord, split FROM ({_SPLIT})")
 def k7(spark, d):
-    return S.split_three(table(spark, d, SILVER), ["veracity_label"], 42, "id", (0.8, 0.1)).select("src_ord", "split")
+    return S.split_three(table(spark, d, SILVER).select("src_ord", "id", "veracity_label"), ["veracity_label"], 42, "id", (0.8, 0.1)).select("src_ord", "split")
 
 
 @query("k8_coverage_repair")
@@ -181,7 +179,7 @@ def k8(spark, d):
 
 @query("k9_multilabel_folds")
 def k9(spark, d):
-    return S.multilabel_folds(table(spark, d, SILVER), list(L), 5, 42, "id").select("src_ord", "fold")
+    return S.multilabel_folds(table(spark, d, SILVER).select("src_ord", "id", *L), list(L), 5, 42, "id").select("src_ord", "fold")
 
 
 @query("k10_shuffle", f"SELECT src_ord, md5('9|' || id) AS place FROM {SILVER}")
@@ -354,7 +352,7 @@ def x2(spark, d):
 
 @query("x4_fold_scores")
 def x4(spark, d):
-    f = S.multilabel_folds(table(spark, d, GOLD), list(L), 5, 42, "id").select("src_ord", "fold")
+    f = S.multilabel_folds(table(spark, d, GOLD).select("src_ord", "id", *L), list(L), 5, 42, "id").select("src_ord", "fold")
     return gold_long(spark, d).join(f, "src_ord").groupBy("fold", "label").agg(F.round(F.avg(F.col("prob").cast("double")), 6).alias("mean_prob"), F.sum("y").alias("positives"))
 
 

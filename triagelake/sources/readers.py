@@ -54,9 +54,10 @@ def read_parts(spark: SparkSession, pattern: str, schema: StructType | str) -> D
     return df.withColumn("part", F.regexp_extract(name, "([0-9]+)[^0-9]*$", 1).try_cast("int"))
 
 
-def read_experiments(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(tag, label, f1) from JSON result documents; a document without a tag has its file name."""
-    docs = spark.read.schema("tag string, f1_per_label map<string,double>").json(paths, multiLine=True)
+def read_experiments(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """(tag, label, f1) from JSON result documents, one a file or one a line; a document without a tag has
+    its file name."""
+    docs = spark.read.schema("tag string, f1_per_label map<string,double>").json(paths, multiLine=multi_line)
     tag = F.coalesce("tag", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.json)?$", 1))
     return docs.select(tag.alias("tag"), F.explode("f1_per_label").alias("label", "f1"))
 

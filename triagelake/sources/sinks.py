@@ -19,7 +19,7 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None, single:
         df = df.coalesce(1)
     if bom:
         df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_splits(df: DataFrame, path: str, split: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 An executor that is lost afterwards costs nothing but a re-read, and a plan that reads the same
 intermediate twice computes it once. The folder is `spark.checkpoint.dir` where the cluster names
-one; only where it is unset (tests, a laptop) a local folder is made.
+one; only where it is unset and the master is local (tests, a laptop) a local folder is made.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder: a machine's own would lose staged tables")
             base = "file://" + tempfile.mkdtemp(prefix="triagelake-")
         root = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
         _ROOTS[app] = root

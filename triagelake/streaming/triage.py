@@ -33,7 +33,14 @@ def first_sightings(messages: DataFrame, at: str, key: str, late: str = "2 days"
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now and give the result as a table (for tests and reports)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over all that is there now and give the result as a table, written beside the checkpoint.
+    A batch has its own folder, so one that is tried again replaces itself; a complete result replaces the one before."""
+    path = f"{checkpoint}-{name}"
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=0")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
