@@ -52,7 +52,7 @@ SKETCH_BITS = 18  # counters of candidates' terms, of fixed size
 
 _AT = r"(?:@|\s?[\(\[]\s?(?:at|et)\s?[\)\]]\s?|\s@\s)"
 _DOT = r"(?:\.|\s?[\(\[]\s?(?:nokta|dot)\s?[\)\]]\s?)"
-EMAIL = re.compile(rf"[\w+\-]+(?:\.[\w+\-]+)*{_AT}[\w\-]+(?:{_DOT}[\w\-]+)+", re.I)
+EMAIL = re.compile(rf"(?<![\w+\-])[\w+\-]++(?:\.[\w+\-]++)*+{_AT}[\w\-]+(?:{_DOT}[\w\-]+)+", re.I)
 _GAP = r"[ .\-/]?"
 PHONE = re.compile(
     r"(?<![\w#+\d])(?<!\d[.\-/ ])(?:"
