@@ -13,7 +13,7 @@ from triagelake.operators import rules as R
 from triagelake.operators import sampling as S
 from triagelake.plans.agg_queries import _CONF, _F1, LONG, gold_long
 from triagelake.plans.registry import query
-from triagelake.plans.tables import EMERGENCY, GOLD, SILVER, low, overlap, scored, spread, table
+from triagelake.plans.tables import EMERGENCY, GOLD, SILVER, low, overlap, quota_sql, sample_sql, scored, spread, table
 from triagelake.plans.text_queries import _alt, _logit_sql, _signal_sql, info_signal, logit
 
 L = X.LABELS
@@ -136,18 +136,18 @@ def k2(spark, d):
     return S.per_stratum(table(spark, d, SILVER), ["province"], 7, 42, "id").select("src_ord")
 
 
-@query("k3_proportional_allocation")
+@query("k3_proportional_allocation", f"SELECT g AS province, size, quota FROM ({quota_sql(SILVER, 'province', 300, 1)})")
 def k3(spark, d):
     """Quotas of 300 rows over the provinces by largest remainder."""
     return S.allocated(table(spark, d, SILVER).select("province"), "province", 300, 1)
 
 
-@query("k4_sample_by_date")
+@query("k4_sample_by_date", sample_sql(SILVER, "date", 400, 42, "src_ord, date"))
 def k4(spark, d):
     return S.proportional_sample(table(spark, d, SILVER).select("src_ord", "id", "date"), "date", 400, 42, "id").select("src_ord", "date")
 
 
-@query("k5_tiered_sample")
+@query("k5_tiered_sample", " UNION ALL ".join(sample_sql(f"(SELECT * FROM {SILVER} WHERE {w})", "date", 150, 42, f"src_ord, '{t}' AS tier") for t, w in (("top", "urgency_score >= 8"), ("high", "urgency_score BETWEEN 4 AND 7"))))
 def k5(spark, d):
     """All of the top tier up to 150 rows, the rest from the next tier, by date."""
     s = table(spark, d, SILVER).select("src_ord", "id", "date", "urgency_score")
@@ -356,7 +356,12 @@ def x4(spark, d):
     return gold_long(spark, d).join(f, "src_ord").groupBy("fold", "label").agg(F.round(F.avg(F.col("prob").cast("double")), 6).alias("mean_prob"), F.sum("y").alias("positives"))
 
 
-@query("x6_probe_set")
+_PROBE = "SELECT name, expected, " + low("text") + " AS t FROM (VALUES " + ", ".join(f"('{n}', '{t}', {list(e)})" for n, t, e in X.PROBES) + ") p(name, text, expected)"
+_PROBE_Y = {c: _any(X.WEAK["A"][c]) for c in X.WEAK["A"]}
+_PROBE_INFO = f"NOT ({' OR '.join(_PROBE_Y.values())}) AND {_any(X.INFO_WORDS)} AND NOT {_any(X.URGENT_WORDS)} AND NOT {_any(X.HELP_WORDS)}"
+
+
+@query("x6_probe_set", f"SELECT name, expected, found, len(list_filter(expected, lambda x: NOT list_contains(found, x))) = 0 AS covered FROM (SELECT name, expected, list_filter([{', '.join(f"CASE WHEN {_PROBE_Y.get(c, _PROBE_INFO)} THEN '{c}' END" for c in L)}], lambda x: x IS NOT NULL) AS found FROM ({_PROBE}))")
 def x6(spark, d):
     df = spark.createDataFrame([(n, t, list(e)) for n, t, e in X.PROBES], "name string, text string, expected array<string>")
     y = R.weak_labels(T.low(F.col("text")), "A")

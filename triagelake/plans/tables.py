@@ -77,3 +77,24 @@ def long_sql(*keep: str) -> str:
             f"CAST(((src_ord * 37 + {k * 101}) % 500) / 1000.0::DOUBLE + CASE WHEN {c} = 1 THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS FLOAT) AS prob, CAST({THRESHOLDS[c]} AS FLOAT) AS thr FROM {GOLD}"
         )
     return "SELECT *, CASE WHEN prob >= thr THEN 1 ELSE 0 END AS pred FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+def quota_sql(source: str, group: str, n: int, least: int) -> str:
+    """(g, size, quota) of largest-remainder quotas, as operators.sampling.allocated gives them."""
+    return f"""
+SELECT g, size, CASE WHEN short > 0 THEN q + CASE WHEN q < size AND open_place <= short THEN 1 ELSE 0 END
+                     ELSE q - greatest(0, least(greatest(q - least_, 0), -short - coalesce(before, 0))) END AS quota
+FROM (SELECT *, row_number() OVER (PARTITION BY q >= size ORDER BY rest DESC, g NULLS FIRST) AS open_place,
+             sum(greatest(q - least_, 0)) OVER (ORDER BY q DESC, g NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+             m - sum(q) OVER () AS short
+      FROM (SELECT *, CASE WHEN least_ > 0 AND least_ * groups <= m THEN greatest(least(f, size), least(least_, size)) ELSE least(f, size) END AS q
+            FROM (SELECT *, size * m::DOUBLE / total AS e, floor(size * m::DOUBLE / total + 1e-9) AS f, size * m::DOUBLE / total - floor(size * m::DOUBLE / total + 1e-9) AS rest,
+                         CASE WHEN groups <= {n} THEN {least} ELSE 0 END AS least_
+                  FROM (SELECT *, count(*) OVER () AS groups, sum(size) OVER () AS total, least({n}, sum(size) OVER ()) AS m
+                        FROM (SELECT {group} AS g, count(*) AS size FROM {source} GROUP BY 1)))))"""
+
+
+def sample_sql(source: str, group: str, n: int, seed: int, keep: str) -> str:
+    """The columns `keep` of a sample of n rows in proportion to the groups, as operators.sampling.proportional_sample draws it."""
+    rows = f"SELECT *, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY md5('{seed}|' || id), id) AS rn FROM {source}"
+    return f"SELECT {keep} FROM ({rows}) r JOIN (SELECT g AS _g, quota FROM ({quota_sql(source, group, n, 1)})) t ON r.g IS NOT DISTINCT FROM t._g WHERE rn <= quota"

@@ -71,7 +71,7 @@ def s16(spark, d):
     return fingerprints(spark, d)
 
 
-@query("s18_head")
+@query("s18_head", f"SELECT src_ord, id FROM {GOLD} ORDER BY src_ord LIMIT 100")
 def s18(spark, d):
     """The first rows in file order, as a debugging aid: the limit is the feature."""
     return table(spark, d, GOLD).orderBy("src_ord").limit(100).select("src_ord", "id")

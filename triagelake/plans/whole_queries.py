@@ -20,7 +20,7 @@ from triagelake.operators import scoring as Z
 from triagelake.plans.agg_queries import _F1, LONG, gold_long
 from triagelake.plans.join_queries import _A, _B, _BOTH, _any, _CAND, annotators, candidates
 from triagelake.plans.registry import query
-from triagelake.plans.tables import EMERGENCY, GOLD, SILVER, low, overlap, scored, squash, table
+from triagelake.plans.tables import GOLD, SILVER, low, overlap, quota_sql, sample_sql, scored, squash, table
 from triagelake.sources import readers, sinks
 from triagelake.store import shared_dir
 
@@ -116,25 +116,6 @@ def j8_split(spark, d):
 # sampling -----------------------------------------------------------------------------------------
 
 
-def quota_sql(source: str, group: str, n: int, least: int) -> str:
-    """(g, size, quota) of largest-remainder quotas, as operators.sampling.allocated gives them."""
-    return f"""
-SELECT g, size, CASE WHEN short > 0 THEN q + CASE WHEN q < size AND open_place <= short THEN 1 ELSE 0 END
-                     ELSE q - greatest(0, least(greatest(q - least_, 0), -short - coalesce(before, 0))) END AS quota
-FROM (SELECT *, row_number() OVER (PARTITION BY q >= size ORDER BY rest DESC, g NULLS FIRST) AS open_place,
-             sum(greatest(q - least_, 0)) OVER (ORDER BY q DESC, g NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-             m - sum(q) OVER () AS short
-      FROM (SELECT *, CASE WHEN least_ > 0 AND least_ * groups <= m THEN greatest(least(f, size), least(least_, size)) ELSE least(f, size) END AS q
-            FROM (SELECT *, size * m::DOUBLE / total AS e, floor(size * m::DOUBLE / total + 1e-9) AS f, size * m::DOUBLE / total - floor(size * m::DOUBLE / total + 1e-9) AS rest,
-                         CASE WHEN groups <= {n} THEN {least} ELSE 0 END AS least_
-                  FROM (SELECT *, count(*) OVER () AS groups, sum(size) OVER () AS total, least({n}, sum(size) OVER ()) AS m
-                        FROM (SELECT {group} AS g, count(*) AS size FROM {source} GROUP BY 1)))))"""
-
-
-def sample_sql(source: str, group: str, n: int, seed: int, keep: str) -> str:
-    return f"SELECT {keep} FROM (SELECT *, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY md5('{seed}|' || id), id) AS rn FROM {source}) JOIN ({quota_sql(source, group, n, 1)}) t USING (g) WHERE rn <= quota"
-
-
 @query("k3_quotas", f"SELECT g AS province, size, quota FROM ({quota_sql(f'(SELECT * FROM {SILVER} WHERE province IS NOT NULL)', 'province', 300, 1)})")
 def k3_quotas(spark, d):
     """Quotas of 300 rows over the provinces by largest remainder, at least one a province."""
