@@ -173,6 +173,43 @@ def test_split_overlaps_equal_brute_force(spark, seed):
     assert all(x.similarity is None or 0 <= x.part_train <= 1 for x in got)
 
 
+def test_overlap_search_posts_the_word_prefix_alone(spark, monkeypatch):
+    from triagelake.llm import wordsets
+
+    r = random.Random(6)
+    stock = [[f"kalıp{i}k{j}" for j in range(6)] for i in range(9)]
+    texts = [" ".join([f"özel{i // 2}", *sum(r.sample(stock, 5), [])]) for i in range(300)]
+    texts[1::2] = [f"{t} ek{i}" for i, t in enumerate(texts[::2])]
+    rows = [(i, t, "val" if i % 2 else "train", None) for i, t in enumerate(texts)]
+    df = frame(spark, rows, "o bigint, t string, s string, id string")
+    sets = [words(t) for t in texts]
+    want = {(i, j) for i in range(0, 300, 2) for j in range(1, 300, 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7 - 1e-9}
+    posted, search = [], wordsets.candidates
+
+    def counted(postings, *more, **named):
+        posted.append(postings.count())
+        return search(postings, *more, **named)
+
+    monkeypatch.setattr(wordsets, "candidates", counted)
+    found = cross_split.split_overlaps(df, "o", "t", "s", "id").collect()
+    assert {(x.train_ord, x.eval_ord) for x in found} == want and len(found) == len(want) >= 150
+    assert posted[0] <= sum(len(s) - -(-7 * len(s) // 10) + 1 for s in sets)
+
+
+def test_sides_of_a_block_meet_in_one_part(monkeypatch):
+    from triagelake.llm import wordsets
+
+    monkeypatch.setattr(wordsets, "BLOCK_ROWS", 20)
+    side, ord_ = np.repeat([0, 1], [90, 50]), np.arange(140)
+    at, part = cross_split.split_sides(side, ord_, [np.full(140, 90), np.full(140, 50)])
+    parts = {}
+    for i, p in zip(at.tolist(), part.tolist()):
+        parts.setdefault(p, ([], []))[side[i]].append(i)
+    met = [x for a, b in parts.values() for x in itertools.product(a, b)]
+    assert len(met) == len(set(met)) == 90 * 50
+    assert len(parts) == 15 and max(len(x) for both in parts.values() for x in both) <= 40
+
+
 def test_long_records_are_cut_by_content(spark):
     r = random.Random(8)
     base = [f"w{i}" for i in range(400)]

@@ -1,9 +1,10 @@
 """p3: the same or nearly the same records across splits, by content-defined chunks.
 
 A record is normalised to its distinct words in hash order, so that moved words, case, punctuation
-and spacing make no difference. A rolling hash over a window of one word cuts the sequence; chunks
-are one or a few words, and an edit changes only the chunks it touches. Chunk digests are joined
-across the splits; what chunks two records share, summed by length, is each one's overlap fraction.
+and spacing make no difference. Records meet across the splits in blocks of their rarest words, the
+chunks of one word; the words they share decide. What chunks cut by content two records share,
+summed by length, is each one's overlap fraction: a rolling hash over a window of one word cuts the
+sequence, chunks are one or a few words, and an edit changes only the chunks it touches.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from triagelake.llm import wordsets as W
 from triagelake.store import stage
 
 CUT = 8  # a chunk ends before a word unless the word's hash is divisible by this
-SHORT = 24  # records of fewer words are cut at every word, too
 HOT_ROWS = 1000  # the pairs of larger classes and ids are dealt to several tasks
-ALL_WORDS = 16  # and of fewer than this, at every word only
+ALL_WORDS = 16  # records of fewer words are cut at every word
 
 
 def chunks(row: np.ndarray, tok: np.ndarray, n: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,70 +40,60 @@ def chunks(row: np.ndarray, tok: np.ndarray, n: np.ndarray, every: np.ndarray) -
     return row[start], C.mix(np.add.reduceat(h, start) + length.astype(np.uint64)), length
 
 
-def _features(row: np.ndarray, tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks by content, then, for short records, at every word: (row, digest, length, kind)."""
-    long_, short = n >= ALL_WORDS, n < SHORT
-    out = []
-    for pick, every, kind in ((long_, np.zeros(len(n), bool), 0), (short, np.ones(len(n), bool), 1)):
-        m = pick[row]
-        r, d, k = chunks(row[m], tok[m], n, every)
-        out.append((r, C.mix(d + np.uint64(kind)), k, np.full(len(r), kind)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def side_sketches(sets: DataFrame) -> list[np.ndarray]:
+    """Counts of words by the low bits of their hash, of the records of train and of val and test; of fixed size."""
+    return [W.frequency_sketch(sets.filter(side)) for side in ("in_train", "in_eval")]
 
 
-def chunk_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of chunk digests by their low bits; its size is fixed."""
+def split_sides(side: np.ndarray, ord_: np.ndarray, sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which postings to emit, and under which part of their block; sizes: how many records of each side a block has.
 
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, tok, n = W.flat_lists(b.column(0))
-            d = _features(row, tok, n)[1].astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(d)], pa.int32()), pa.array(d))], ["toks"])
-
-    return W.frequency_sketch(sets.select("toks").mapInArrow(low, "toks array<int>"))
+    A side of more than BLOCK_ROWS records is dealt to groups, and each group of one side with each of
+    the other is a part. A posting goes to the parts of its own group, as many as the other side has
+    groups, so every pair of a block meets in one part of bounded size, and in that alone.
+    """
+    groups = [np.maximum(1, -(-x.astype(np.int64) // W.BLOCK_ROWS)) for x in sizes]
+    own, others = np.where(side == 0, groups[0], groups[1]), np.where(side == 0, groups[1], groups[0])
+    grp = (C.mix(ord_.astype(np.uint64)) % own.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(side)), others)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(others) - others, others)
+    return at, np.where(side[at] == 0, grp[at] * W.PART + other, other * W.PART + grp[at])
 
 
-def chunk_postings(sets: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
-    """One row per record, side and rare chunk that another record may share.
+def word_postings(sets: DataFrame, sketches: list[np.ndarray], t: float) -> DataFrame:
+    """One row per record, side and word of its prefix that a record of the other side may share.
 
-    A partner of similarity t that lacks m of n words and has a more satisfies n - m >= t(n + a). A missing
-    word breaks the chunk it is in, and the one before it where it had followers, which chunks of one
-    word have not; a word more breaks one chunk at most. m + a is largest where nothing is missing, at
-    n(1-t)/t, so that many chunks, those of several words and one more are posted, the rarest first: no
-    pair is lost.
+    Two records of similarity t have at least t n of the n words of either in common, so the rarest
+    word both have is among the first n - ceil(t n) + 1 of each: no pair is lost. `cap` is the largest
+    partner that still reaches the overlap if this is that word.
     """
-    held = sets.sparkSession.sparkContext.broadcast(sketch)
+    held = sets.sparkSession.sparkContext.broadcast(sketches)
     mask = np.uint32((1 << W.SKETCH_BITS) - 1)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = held.value[0].astype(np.int64) + held.value[1]
         for b in batches:
             if not b.num_rows:
                 continue
             ord_ = b.column(0).to_numpy()
             row, tok, n = W.flat_lists(b.column(1))
-            sides = [np.asarray(b.column(2)), np.asarray(b.column(3))]
+            sides = np.stack([np.asarray(b.column(2)), np.asarray(b.column(3))]).astype(bool)
             sig = W.signatures(row, tok, len(n))
-            r, d, length, kind = _features(row, tok, n)
-            low = d.astype(np.uint32)
-            df = held.value[low & mask]
-            group = r * 2 + kind
-            by = np.lexsort((low, df, group))
-            r, low, length, kind, df, group = r[by], low[by], length[by], kind[by], df[by], group[by]
-            size = np.bincount(group, minlength=2 * len(n))
-            place = np.arange(len(r)) - (np.cumsum(size) - size)[group]
-            multi = np.bincount(group, weights=length > 1, minlength=2 * len(n)).astype(np.int64)
-            words = n - np.ceil(t * n - W.EPS).astype(np.int64) + 1
-            most = np.floor(n * (1 - t) / t + W.EPS).astype(np.int64)
-            depth = np.where(kind == 1, words[r], most[r] + multi[group] + 1)
-            take = (place < depth) & (df > 1)
-            r, low, df = r[take], low[take], df[take]
-            at, part, grp = W.split_blocks(low, ord_[r], df)
-            cap = np.floor(n / t + W.EPS).astype(np.int32)
+            by = W.ranked(row, tok, both)
+            row, tok = row[by], tok[by]
+            place = np.arange(len(tok)) - (np.cumsum(n) - n)[row]
+            m = place < (n - np.ceil(t * n - W.EPS).astype(np.int64) + 1)[row]
+            row, tok, place = row[m], tok[m], place[m]
+            df = [x[tok & mask] for x in held.value]
             for side in (0, 1):
-                k = sides[side][r[at]].astype(bool)
-                x, rr = at[k], r[at][k]
-                cols = [low[x].view(np.int32), part[k], ord_[rr], n[rr].astype(np.int32), cap[rr], np.full(len(x), side, np.int32), grp[x].astype(np.int32)]
-                cols += [sig[rr, i].view(np.int64) for i in range(W.SIG_WORDS)]
+                met = df[1 - side] - sides[1 - side][row] > 0  # by another record of the other side
+                k = np.flatnonzero(sides[side][row] & met)
+                r, w = row[k], tok[k]
+                at, part = split_sides(np.full(len(k), side), ord_[r], [x[k] for x in df])
+                cap = np.floor((n[r] - place[k]) * (1 + t) / t + W.EPS).astype(np.int64) - n[r]
+                r = r[at]
+                cols = [w[at].view(np.int32), part, ord_[r], n[r].astype(np.int32), cap[at].astype(np.int32), np.full(len(at), side, np.int32), np.full(len(at), side, np.int32)]
+                cols += [sig[r, i].view(np.int64) for i in range(W.SIG_WORDS)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in W.POSTING.split(", ")])
 
     return sets.select("ord", "toks", "in_train", "in_eval").mapInArrow(post, W.POSTING)
@@ -153,7 +143,7 @@ def linked_classes(base: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
     joined = joined.withColumns({"in_train": F.col("trains") > 0, "in_eval": F.col("evals") > 0})
     classes = stage(joined.withColumn("toks", F.when(F.col("ord") == F.col("rep"), F.col("toks"))).drop("d1", "d2"), "classes")
     lead = classes.filter("ord = rep")
-    pairs = W.candidates(chunk_postings(lead, chunk_sketch(lead), t), t, W.task_count(lead, t, 2.0), sided=True)
+    pairs = W.candidates(word_postings(lead, side_sketches(lead), t), t, W.task_count(lead, t, 2.0), sided=True)
     near = overlap_fractions(pairs, lead, t)
     own = lead.filter("in_train AND in_eval").select(F.col("rep").alias("a"), F.col("rep").alias("b"), *(F.lit(1.0).alias(c) for c in ("similarity", "part_a", "part_b")))
     return classes.select("ord", "side", "rep", "trains", "evals"), stage(near.unionByName(own), "links")
