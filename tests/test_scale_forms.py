@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -54,6 +55,50 @@ def test_similar_pairs_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, H.similar_pairs(df, 0.9).collect())) == plain and len(plain) == 25
 
 
+@pytest.mark.parametrize("seed, t", [(1, 0.85), (2, 0.7), (3, 0.95)])
+def test_near_duplicates_write_no_shingles_and_lose_none(spark, monkeypatch, seed, t):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcçdeğhıiklmnoöprsştuüvyz") for _ in range(r.randint(2, 9))) for _ in range(120)]
+    texts = ["a", "abcd", "abcde", "abcdef", "ab" * 300]
+    for _ in range(260):
+        w = r.choice(texts).split() if r.random() < 0.6 else [r.choice(words) for _ in range(r.choice([1, 2, 4, 12, 40, 60]))]
+        for _ in range(r.choice([0, 1, 1, 2])):
+            w[r.randrange(len(w))] = r.choice(words)
+        if r.random() < 0.2:
+            r.shuffle(w)
+        texts.append(" ".join(w))
+    texts += [" ".join(r.choice(words) for _ in range(60)) for _ in range(400)]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    side = [r.randrange(2) for _ in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = {}
+    for i in (i for i, s in enumerate(side) if not s):
+        best = max((alike(i, j), -j) for j, s in enumerate(side) if s)
+        if best[0] >= t - 1e-9:
+            want[i] = (-best[1], round(best[0], 6))
+    staged = []
+
+    def weighed(df, name):
+        path = store.stage_path(df, name)
+        staged.append(sum(p.stat().st_size for p in Path(path.removeprefix("file://")).glob("*.parquet")))
+        return spark.read.parquet(path)
+
+    monkeypatch.setattr(J, "stage", weighed)
+    if seed == 1:
+        monkeypatch.setattr(H, "GROUP", 9000)  # several groups in a band
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, side)), "o bigint, t string, side int").repartition(2)
+    got = J.near_duplicate_join(df.filter("side = 0"), df.filter("side = 1"), "o", F.col("t"), t).collect()
+    assert {x["l"]: (x["r"], x["similarity"]) for x in got} == want and len(got) == len(want) > 20
+    assert sum(staged) < 3 * sum(len(x.encode()) for x in texts)
+
+
+def test_pairs_of_parts_in_slices(monkeypatch):
+    texts = [f"aynı söz burada yine aynı {i % 7}" for i in range(60)]
+    plain = H._alike(texts[:30], texts[30:], 5, 0.85, 9)
+    monkeypatch.setattr(H, "PAIRS", 11)
+    assert all((x == y).all() for x, y in zip(plain, H._alike(texts[:30], texts[30:], 5, 0.85, 9))) and len(plain[0]) == 900
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(-30, 300), min_size=2, max_size=5), st.integers(0, 60), st.data())
 def test_level_fill_equals_one_row_at_a_time(need, n, data):

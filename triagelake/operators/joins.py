@@ -92,29 +92,17 @@ def dictionary_match(docs: DataFrame, key: str, text: Column, names: DataFrame,
 def near_duplicate_join(left: DataFrame, right: DataFrame, key: str, text: Column, t: float = 0.85, k: int = 5) -> DataFrame:
     """(left, right, similarity): the best right row of every left row by k-shingle Jaccard of at least t.
 
-    Prefix filtering: shingles are ordered by how many distinct texts hold them; texts that reach t share
-    one of the first n - ceil(t n) + 1. Candidates that also fit by size are verified on the whole sets.
+    Whole sets are compared (H.near_pairs); no shingles are written, only the texts.
     Equal texts are one representative per side, so copies of a text do not multiply the work.
     """
     sides = [df.select(F.col(key).alias("row"), F.lit(i).alias("side"), text.alias("t")).filter("t <> ''") for i, df in enumerate((left, right))]
     rows = stage(sides[0].unionByName(sides[1]).withColumn("id", F.xxhash64("t")), "normalized")
-    texts = stage(H.with_shingles(rows.select("id", "t").distinct(), "id", "t", k), "shingles")
-    prefix = stage(H.rare_prefix(texts, "id", t, H.frequencies(texts)), "prefix")
+    each = rows.groupBy("id", "t").agg(F.max(F.col("side") == 0).alias("l"), F.max(F.col("side") == 1).alias("r"))
+    texts = stage(H.sized_texts(each, "id", "t", k), "texts")
     l_all = rows.filter("side = 0").select(F.col("row").alias("l"), F.col("id").alias("a"))
     ids_l = l_all.select(F.col("a").alias("id")).distinct()
     ids_r = rows.filter("side = 1").groupBy("id").agg(F.min("row").alias("r"))
-    a = prefix.join(ids_l, "id").select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
-    b = prefix.join(ids_r.select("id"), "id").select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
-    needed = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)  # if this is the first common shingle
-    fits = (F.least("na", "nb") >= t * F.greatest("na", "nb")) & (F.least("ra", "rb") >= needed) & (F.col("a") != F.col("b"))
-    cand = stage(a.join(b, "g").filter(fits).select("a", "b").distinct(), "candidates")
-    # bitmaps first: a bit of one text that the other lacks is a shingle it lacks
-    ga, gb = (texts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}")) for x in "ab")
-    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda u, v: u + v)
-    near = cand.join(ga, "a").join(gb, "b")
-    near = near.filter((F.col("na") - lacks(F.col("ga"), F.col("gb")) >= needed) & (F.col("nb") - lacks(F.col("gb"), F.col("ga")) >= needed)).select("a", "b")
-    sa, sb = (texts.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    sim = H.similar_pairs(near.join(sa, "a").join(sb, "b"), t)
+    sim = H.near_pairs(texts, k, t)
     same = ids_l.join(ids_r.select("id"), "id").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     links = sim.unionByName(same).join(ids_r.withColumnRenamed("id", "b"), "b")
     best = links.groupBy("a").agg(F.max_by(F.struct("r", "similarity"), F.struct(F.col("similarity"), -F.col("r"))).alias("m"))
