@@ -22,7 +22,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingle hashes of all texts on end, and how many each has. A text shorter than k
+    """Distinct shingle hashes of all texts on end, in their upper bits, and how many each has. A text shorter than k
     is one shingle, an empty one has none."""
     size = np.array([len(t) for t in texts], np.int64)
     cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -30,16 +30,20 @@ def shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.where(size == 0, 0, np.maximum(size - k + 1, 1))
     row = np.repeat(np.arange(len(texts)), count)
     at = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    end = (begin + size)[row]
-    h = np.zeros(len(at), np.uint64)
+    x = np.concatenate([cp + np.uint64(1), np.zeros(k, np.uint64)])
+    h = np.zeros(len(cp), np.uint64)
     for i in range(k):
-        x = np.where(at + i < end, cp[np.minimum(at + i, max(len(cp) - 1, 0))] + np.uint64(1), np.uint64(0)) if len(cp) else h
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return h[new], np.bincount(row[new], minlength=len(texts))
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(cp)])
+    h = h[at]
+    short = np.flatnonzero(size[row] < k)
+    at, end, g = at[short], (begin + size)[row[short]], np.zeros(len(short), np.uint64)
+    for i in range(k):
+        g = _mix(g * np.uint64(0x9E3779B97F4A7C15) + np.where(at + i < end, x[at + i], np.uint64(0)))
+    h[short] = g
+    low = np.uint64(max(14, len(texts).bit_length()))  # row in the upper bits, the upper bits of the hash below: one plain sort
+    key = np.sort(row.astype(np.uint64) << (np.uint64(64) - low) | h >> low)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return key << low, np.bincount((key >> (np.uint64(64) - low)).astype(np.int64), minlength=len(texts))
 
 
 def sized_texts(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -72,14 +76,11 @@ def _prints(texts: list[str], k: int, parts: int) -> tuple[np.ndarray, np.ndarra
         h, n = shingle_hashes(texts[at : at + SLICE], k)
         row = np.repeat(np.arange(len(n)), n)
         part = ((_mix(h + np.uint64(0x51ED27)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        key = np.zeros(len(n) * parts, np.uint64)
         cell = row * parts + part
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        key[cell[start]] = np.add.reduceat(_mix(h[order] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7)), start) if len(start) else 0
-        keys.append((_mix(key) >> np.uint64(32)).astype(np.uint32).reshape(len(n), parts))
-        bit = row * (64 * SIG_WORDS) + ((h >> np.uint64(7)) % np.uint64(64 * SIG_WORDS)).astype(np.int64)
+        mixed = _mix(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7)) >> np.uint64(32)
+        key = np.bincount(cell, weights=mixed.astype(np.float64), minlength=len(n) * parts).astype(np.uint64)  # sums of 32 bits, exact
+        keys.append((_mix(_mix(key)) >> np.uint64(16)).astype(np.uint32).reshape(len(n), parts))
+        bit = row * (64 * SIG_WORDS) + ((h >> np.uint64(24)) % np.uint64(64 * SIG_WORDS)).astype(np.int64)
         odd = (np.bincount(bit, minlength=len(n) * 64 * SIG_WORDS) & 1).astype(bool)
         bits.append(np.packbits(odd.reshape(len(n), -1), axis=1, bitorder="little").view(np.uint64))
         sizes.append(n)
